@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import plaintext
+from folioscope.llm import conduct, leakage, plaintext
 from folioscope.runtime import table
 
 
@@ -18,5 +18,29 @@ def p1_plain(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("record_id").alias("cell_id"), "field_name", "plain")
 
 
-QUERIES = {"p1_found": p1_found, "p1_plain": p1_plain}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked items, each with the number of documents that hold it."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return conduct.found(table(spark, d, "documents"), table(spark, d, "review_examples"))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return conduct.score_documents(table(spark, d, "documents"), table(spark, d, "review_examples"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return conduct.rates(table(spark, d, "documents"), table(spark, d, "review_examples"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_plain": p1_plain, "p7_found": p7_found, "p7_items": p7_items,
+    "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
+}
 ORACLE: dict[str, str] = {}
