@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import conduct, leakage, plaintext
+from folioscope.llm import conduct, leakage, packing, plaintext
 from folioscope.runtime import table
 
 
@@ -18,6 +18,14 @@ def p1_plain(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("record_id").alias("cell_id"), "field_name", "plain")
 
 
+def p6_windows(spark: SparkSession, d: str) -> DataFrame:
+    return packing.assign(table(spark, d, "documents"), table(spark, d, "context_windows"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p6_windows(spark, d), table(spark, d, "context_windows"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -40,7 +48,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_plain": p1_plain, "p7_found": p7_found, "p7_items": p7_items,
+    "p1_found": p1_found, "p1_plain": p1_plain, "p6_windows": p6_windows, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
 ORACLE: dict[str, str] = {}
