@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import conduct, leakage, packing, plaintext
+from folioscope.llm import conduct, leakage, names, packing, plaintext
 from folioscope.runtime import table
 
 
@@ -18,6 +18,15 @@ def p1_plain(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("record_id").alias("cell_id"), "field_name", "plain")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.found(table(spark, d, "parties"))
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record: the class of its exact name and how many classes are linked to it."""
+    return names.classes_with_links(table(spark, d, "parties"))
+
+
 def p6_windows(spark: SparkSession, d: str) -> DataFrame:
     return packing.assign(table(spark, d, "documents"), table(spark, d, "context_windows"))
 
@@ -48,7 +57,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_plain": p1_plain, "p6_windows": p6_windows, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items,
+    "p1_found": p1_found, "p1_plain": p1_plain, "p2_found": p2_found, "p2_classes": p2_classes, "p6_windows": p6_windows, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
 ORACLE: dict[str, str] = {}
