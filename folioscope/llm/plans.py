@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import conduct, leakage, names, packing, plaintext
+from folioscope.llm import addresses, conduct, leakage, names, packing, plaintext
 from folioscope.runtime import table
 
 
@@ -27,6 +27,16 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return names.classes_with_links(table(spark, d, "parties"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.found(table(spark, d, "parties"))
+
+
+def p5_rewrites(spark: SparkSession, d: str) -> DataFrame:
+    """The rewrites that were mined from the addresses."""
+    _, rules = addresses.normalise(table(spark, d, "parties"))
+    return spark.createDataFrame(rules, "written string, meant string")
+
+
 def p6_windows(spark: SparkSession, d: str) -> DataFrame:
     return packing.assign(table(spark, d, "documents"), table(spark, d, "context_windows"))
 
@@ -57,7 +67,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_plain": p1_plain, "p2_found": p2_found, "p2_classes": p2_classes, "p6_windows": p6_windows, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items,
+    "p1_found": p1_found, "p1_plain": p1_plain, "p2_found": p2_found, "p2_classes": p2_classes, "p5_found": p5_found, "p5_rewrites": p5_rewrites, "p6_windows": p6_windows, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
 ORACLE: dict[str, str] = {}

@@ -18,7 +18,7 @@ def _grams(text: Column, q: int) -> Column:
     return F.array_distinct(each)
 
 
-def near_pairs(strings: DataFrame, edits: int = 2) -> DataFrame:
+def near_pairs(strings: DataFrame, edits: int = 2, syllable_edits: int = 1) -> DataFrame:
     """``(scope, a, b, distance)`` for ordered pairs of distinct strings of one scope that are few edits apart.
 
     ``strings`` has ``scope`` (only strings of one scope are compared), ``text`` and ``kana`` (a second
@@ -26,16 +26,18 @@ def near_pairs(strings: DataFrame, edits: int = 2) -> DataFrame:
     text, of two in kana and kanji, where one edit changes at most one more gram than a gram has letters
     (one more for a swap). Grams are ordered by how rare they are among all strings; those few edits
     apart must share one of their rarest, so only these are joined. Verified by exact edit distance
-    (swap of neighbours is one edit); strings of under ten letters, kanji, and names that both read as kana allow one edit.
+    (swap of neighbours is one edit): ``edits`` in Latin text of ten letters or more, one in shorter text, ``syllable_edits``
+    in kanji and between texts that both read as kana.
     No candidate is dropped. Null and empty texts have no pair.
     """
     s = strings.where("text IS NOT NULL AND text <> ''").select("scope", "text", F.coalesce("kana", F.lit("")).alias("kana")).distinct()
     latin = ~F.col("text").rlike(r"[^\x00-\x{24f}]")
-    allowed = F.when(latin & (F.length("text") >= 10), F.lit(edits)).otherwise(F.lit(1))
+    allowed = F.when(F.length("text") >= 10, F.lit(edits)).otherwise(F.lit(1))
+    few = F.lit(3 * syllable_edits + 1)
     in_text = F.when(latin, F.struct(F.lit("L").alias("how"), _grams(F.col("text"), 3).alias("grams"), (allowed * 4 + 1).alias("prefix"))).otherwise(
-        F.struct(F.lit("K").alias("how"), _grams(F.col("text"), 2).alias("grams"), F.lit(4).alias("prefix"))
+        F.struct(F.lit("K").alias("how"), _grams(F.col("text"), 2).alias("grams"), few.alias("prefix"))
     )
-    in_kana = F.when(F.col("kana") != "", F.struct(F.lit("S").alias("how"), _grams(F.col("kana"), 2).alias("grams"), F.lit(4).alias("prefix")))
+    in_kana = F.when(F.col("kana") != "", F.struct(F.lit("S").alias("how"), _grams(F.col("kana"), 2).alias("grams"), few.alias("prefix")))
     sets = s.withColumn("size", F.length("text")).select("scope", "text", "kana", "size", F.explode(F.array_compact(F.array(in_text, in_kana))).alias("g"))
     grams = cut(sets.select("scope", "text", "kana", "size", "g.how", "g.prefix", F.explode("g.grams").alias("gram")))
     rarity = grams.groupBy("scope", "how", "gram").agg(F.count("*").alias("n"))
@@ -44,20 +46,21 @@ def near_pairs(strings: DataFrame, edits: int = 2) -> DataFrame:
     prefix = ranked.withColumn("i", F.row_number().over(order)).where("i <= prefix").select("scope", "how", "gram", "text", "kana", "size")
     other = prefix.select("scope", "how", "gram", *(F.col(c).alias(f"{c}_b") for c in ("text", "kana", "size")))
     pairs = prefix.join(other, ["scope", "how", "gram"]).where("text < text_b AND abs(size - size_b) <= 3")
-    close = (F.levenshtein("text", "text_b", 4) >= 0) | ((F.col("kana") != "") & (F.levenshtein("kana", "kana_b", 2) >= 0))
+    close = (F.levenshtein("text", "text_b", 2 * edits) >= 0) | ((F.col("kana") != "") & (F.levenshtein("kana", "kana_b", 2 * syllable_edits) >= 0))
     pairs = pairs.where(close).select("scope", "text", "text_b", "kana", "kana_b").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for scope, x, y, kx, ky in zip(b["scope"], b["text"], b["text_b"], b["kana"], b["kana_b"], strict=True):
-                short = min(len(x), len(y)) < 10 or max(x) > "ɏ" or max(y) > "ɏ"
-                if kx and ky:  # both are syllables: one edit in either spelling
-                    d = min(letters.distance(x, y, 1), letters.distance(kx, ky, 1))
-                    ok = d <= 1
+                script = max(x) > "ɏ" or max(y) > "ɏ"
+                most = syllable_edits if script else edits if min(len(x), len(y)) >= 10 else 1
+                if kx and ky:  # both are syllables
+                    d = min(letters.distance(x, y, 1), letters.distance(kx, ky, syllable_edits))
+                    ok = d <= 1 or d <= syllable_edits and letters.distance(kx, ky, syllable_edits) <= syllable_edits
                 else:
-                    d = letters.distance(x, y, 1 if short else edits)
-                    ok = d <= (1 if short else edits)
+                    d = letters.distance(x, y, most)
+                    ok = d <= most
                 if ok:
                     out.append((scope, x, y, d))
             yield pd.DataFrame(out, columns=["scope", "a", "b", "distance"])
