@@ -127,8 +127,8 @@ def parse_names(parties: DataFrame) -> DataFrame:
     return p.mapInPandas(parse, "party_id bigint, kind string, core string, attribute string, kana string")
 
 
-#: Soft weighted similarity of the tokens from which two names are one.
-ALIKE = 0.8
+#: Soft weighted similarity of the tokens from which two names are one, and what a core weighs at least.
+ALIKE, LEAST_WEIGHT = 0.75, 4.0
 
 
 def link_names(parties: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,8 +166,8 @@ def link_names(parties: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     alike = F.when(a == b, 1.0).when(org & ((a == "") | (b == "")), F.when(F.col("single"), 0.5)).when(~org & given, F.when(initial, 0.5).otherwise(1.0))
     total = classes.select(F.count("*").alias("total"))
-    weight_core = F.log(1 + F.col("total") / F.greatest("n_a", "n_b"))
-    weight_attribute = F.when(org, F.lit(1.0)).otherwise(F.lit(2.0))
+    weight_core = F.greatest(F.log(1 + F.col("total") / F.greatest("n_a", "n_b")), F.lit(LEAST_WEIGHT))
+    weight_attribute = F.when(~org & (alike == 1.0), F.lit(2.0)).otherwise(F.lit(1.0))
     soft = 1 - F.col("distance") / F.greatest(F.length("a"), F.length("b"))
     score = (weight_core * soft + weight_attribute * alike) / (weight_core + weight_attribute)
     close = (F.col("distance") <= 1) | (alike == 1.0) | (org & (F.least(F.length("a"), F.length("b")) >= 12))
