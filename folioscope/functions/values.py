@@ -22,7 +22,11 @@ def whole_amount(text: Column) -> Column:
 
 
 def iso_date(text: Column) -> Column:
-    """The first date as YYYY-MM-DD; without a day the first of the month; an impossible date is null."""
+    """The first date as YYYY-MM-DD; without a day the first of the month; an impossible date is null.
+
+    The fixed pattern takes the first alternative that fits, so a day of two digits not starting with 0 is
+    read by its first digit; ``augment.era_date`` reads whole days.
+    """
     year, month = first(text, DATE, 1), first(text, DATE, 2)
     day = F.coalesce(first(F.regexp_replace(first(text, DATE, 3), r"[^0-9]", ""), r"\d+"), F.lit("1"))
     joined = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
