@@ -7,8 +7,7 @@ from pyspark.sql import Column, functions as F
 
 def plain_tokens(text: Column) -> Column:
     """Lower-case runs of ``a-z 0-9 - . _``; everything else separates."""
-    kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\-._]+", " ")
-    return F.filter(F.split(kept, r"\s+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9\-._]+"), F.lit(0))
 
 
 def mixed_tokens(text: Column) -> Column:

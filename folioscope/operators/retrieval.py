@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioscope.functions.words import cosine
+from folioscope.runtime import cut
 
 K1, B = 1.2, 0.75
 
@@ -31,8 +32,8 @@ def corpus_stats(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
 def bm25(docs: DataFrame, key: str, tokens: Column, query: list[str], k1: float = K1, b: float = B) -> DataFrame:
     """``(key, score)`` of every document that holds a query token.
 
-    Only the query's tokens leave the document: one pass counts them and the length per row without a
-    shuffle; document frequencies are a handful of sums over that, sent back as one row. A token
+    Only counts leave the document: one pass counts the query's tokens and the length per row without a
+    shuffle and keeps these numbers; document frequencies are a handful of sums over them, sent back as one row. A token
     repeated in the query counts as often; unknown tokens and an empty query score nothing.
     """
     terms = Counter(query)
@@ -42,7 +43,7 @@ def bm25(docs: DataFrame, key: str, tokens: Column, query: list[str], k1: float
     t = docs.select(F.col(key), tokens.alias("t"))
     equals = lambda w: lambda x: x == F.lit(w)
     tf = [F.size(F.filter("t", equals(w))).alias(f"f{i}") for i, w in enumerate(words)]
-    counted = t.select(key, F.size("t").alias("dl"), *tf)
+    counted = cut(t.select(key, F.size("t").alias("dl"), *tf))  # a few numbers per document, read twice; the texts are read once
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(words))))
     both = counted.where(" OR ".join(f"f{i} > 0" for i in range(len(words)))).crossJoin(F.broadcast(totals))  # one row
     norm = k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))
