@@ -144,10 +144,14 @@ def link_names(parties: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = cut(parse_names(parties))
     classes = cut(named.groupBy("kind", "core", "attribute").agg(F.min("party_id").alias("class_id"), F.count("*").alias("n"), F.min("kana").alias("kana")))
     members = named.join(classes.select("kind", "core", "attribute", "class_id"), ["kind", "core", "attribute"]).select("party_id", "class_id")
-    cores = classes.select(F.col("kind").alias("scope"), F.col("core").alias("text"), "kana").distinct()
-    near = near_pairs(cores)
-    same = cores.select("scope", F.col("text").alias("a"), F.col("text").alias("b"), F.lit(0).alias("distance"))
-    near = cut(near.unionByName(same))
+    # Only names that may be linked are compared: of one line of business (those without one in every line), or of one first letter of the given name.
+    scopes = F.when(F.col("kind") == "person", F.array_distinct(F.transform(F.split("attribute", r"\|"), lambda x: F.substr(x, F.lit(1), F.lit(1))))).otherwise(
+        F.when(F.col("attribute") != "", F.array("attribute")).otherwise(F.array(*(F.lit(x) for x in LINES)))
+    )
+    cores = classes.select("kind", "core", "kana", F.explode(scopes).alias("s")).select(F.concat_ws("|", "kind", "s").alias("scope"), F.col("core").alias("text"), "kana").distinct()
+    near = near_pairs(cores).select(F.substring_index("scope", "|", 1).alias("scope"), "a", "b", "distance")
+    same = classes.select(F.col("kind").alias("scope"), F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("distance"))
+    near = cut(near.unionByName(same).distinct())
     side = lambda x: classes.select(F.col("kind").alias("scope"), F.col("core").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("attribute", "class_id", "n")))
     # How many lines of business stand by a core and its near spellings.
     lines = (
