@@ -50,7 +50,8 @@ def plain_values(values: DataFrame) -> DataFrame:
     and not returned; a value of invisible characters only becomes the empty string; a word wholly in
     another script stays; a mixed word becomes Latin unless only its Cyrillic letters are unmistakable;
     a letter is read as a digit in a run of letters and digits all of whose letters look like digits,
-    and everywhere in a value made of digits, such letters and number punctuation only.
+    and everywhere in a value made of digits, such letters and number punctuation only, unless it ends in
+    a letter of its own (a unit).
     """
     spark = values.sparkSession
     number = r"^(?=.*[0-9])[^A-HJ-NP-Za-kmnp-z]*[OolI][^A-HJ-NP-Za-kmnp-z]*$"
@@ -73,7 +74,8 @@ def plain_values(values: DataFrame) -> DataFrame:
         "starter": F.sum((F.col("ccc") == 0).cast("int")).over(ordered),
         "word": F.sum((script == "").cast("int")).over(ordered),
         "number": has(script == "digit").over(whole) & ~has((letter & digit.isNull()) | (script == "mark")).over(whole)
-        & ~has((script == "") & ~F.col("c").rlike(r"^[-+.,'/:()%\s\p{Sc}]$")).over(whole),
+        & ~has((script == "") & ~F.col("c").rlike(r"^[-+.,'/:()%\s\p{Sc}]$")).over(whole)
+        & ~F.col("value").rlike(r"[0-9]\s+[A-Za-z]$"),  # a letter behind the number is its unit
     })
     parts = parts.withColumns({
         "in_number": has(script == "digit").over(word) & ~has((letter & digit.isNull()) | (script == "mark")).over(word),
