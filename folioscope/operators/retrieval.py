@@ -54,6 +54,28 @@ def bm25(docs: DataFrame, key: str, tokens: Column, query: list[str], k1: float
     return both.select(key, sum(parts[1:], parts[0]).alias("score"))
 
 
+def bm25_many(docs: DataFrame, key: str, tokens: Column, queries: DataFrame, query_key: str, query_tokens: Column, k: int) -> DataFrame:
+    """``(query_key, key, score, rank)``: the k best documents of every query of a stated set.
+
+    Documents are counted against the queries' vocabulary only: tokens outside it are dropped by a semi
+    join before anything is shuffled, term counts are combined per document first. Ties go to the
+    smaller key. A query without known tokens has no rows.
+    """
+    terms = queries.select(query_key, F.explode(query_tokens).alias("token")).groupBy(query_key, "token").agg(F.count("*").alias("qtf"))
+    vocabulary = terms.select("token").distinct()
+    t = docs.select(key, tokens.alias("t"))
+    sizes = t.select(key, F.size("t").alias("dl"))
+    stats = sizes.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    tf = cut(t.select(key, F.size("t").alias("dl"), F.explode("t").alias("token")).join(vocabulary, "token", "left_semi").groupBy(key, "dl", "token").agg(F.count("*").alias("tf")))
+    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    p = tf.join(df, "token").crossJoin(F.broadcast(stats))  # one row
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = p.select(key, "token", part.alias("part")).join(terms, "token").groupBy(query_key, key).agg(F.round(F.sum(F.col("qtf") * F.col("part")), 6).alias("score"))
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def top(scored: DataFrame, key: str, k: int, places: int = 6) -> DataFrame:
     """The k best, the smaller key first among equals (sorted per partition, merged at the end)."""
     return scored.select(key, F.round("score", places).alias("score")).orderBy(F.desc("score"), key).limit(k)

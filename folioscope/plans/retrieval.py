@@ -165,11 +165,26 @@ def domain_vote(spark, d):
     return _docs(spark, d).select("doc_domain", winner.alias("voted")).groupBy("doc_domain", "voted").agg(F.count("*").alias("n"))
 
 
+def qa_best_documents(spark, d):
+    """The three best documents for the question of every evaluation item."""
+    q = table(spark, d, "eval_items").select("item_id", "query")
+    return R.bm25_many(_docs(spark, d), "doc_id", _t(), q, "item_id", words.plain_tokens(F.col("query")), 3)
+
+
+def qa_answer_rate(spark, d):
+    """Share of the items, by visual type, one of whose three best documents holds one of the answers."""
+    items = table(spark, d, "eval_items").select("item_id", "visual_type", "answers")
+    best = qa_best_documents(spark, d).join(_docs(spark, d).select("doc_id", F.lower("text").alias("text")), "doc_id")
+    hit = best.join(items, "item_id").select("item_id", F.exists("answers", lambda a: F.contains(F.col("text"), F.lower(a))).alias("hit"))
+    per = items.join(hit.groupBy("item_id").agg(F.max(F.col("hit").cast("int")).alias("hit")), "item_id", "left")
+    return per.groupBy("visual_type").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("rate"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         df_stats, tf_top, corpus_stats, doclen_summary, bm25_topk, bm25_by_language, rrf_merge, cosine_topk, centroid_norms, l2_normalised, linear_fusion_topk, hybrid_cells_topk,
-        symbolic_match, filter_equality, filter_membership, filter_regex, filter_predicate, zone_filter, mixed_token_stats, script_profile, context_windows_of_lines, doc_languages, domain_vote,
+        symbolic_match, filter_equality, filter_membership, filter_regex, filter_predicate, zone_filter, mixed_token_stats, script_profile, context_windows_of_lines, doc_languages, domain_vote, qa_best_documents, qa_answer_rate,
     )
 }
 
@@ -225,3 +240,10 @@ ORACLE = {
     "script_profile": r"WITH s AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s', '', 'g') AS x FROM documents) SELECT doc_id, round(len(regexp_replace(x, '[^\x{4E00}-\x{9FFF}]', '', 'g')) / greatest(len(x), 1), 6) AS kanji, round(len(regexp_replace(x, '[^\x{3040}-\x{30FF}]', '', 'g')) / greatest(len(x), 1), 6) AS kana, round(len(regexp_replace(x, '[^A-Za-z]', '', 'g')) / greatest(len(x), 1), 6) AS latin, round(len(regexp_replace(x, '[^0-9]', '', 'g')) / greatest(len(x), 1), 6) AS digit FROM s",
 }
 del ORACLE["mixed_token_stats"]
+_QA = f"""WITH {_D}, q AS (SELECT item_id, token, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(query), '[a-z0-9\\-._]+')) AS token FROM eval_items) GROUP BY ALL),
+  st AS (SELECT count(*) AS n, greatest(avg(len(t)), 1.0) AS avgdl FROM d), x AS (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM d),
+  tf AS (SELECT doc_id, dl, token, count(*) AS tf FROM x WHERE token IN (SELECT token FROM q) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+  s AS (SELECT item_id, doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (token) JOIN q USING (token), st GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
+ORACLE["qa_best_documents"] = f"{_QA} SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 3"
+ORACLE["qa_answer_rate"] = f"{_QA}, h AS (SELECT r.item_id, max(len(list_filter(answers, lambda a: contains(lower(text), lower(a)))) > 0)::INT AS hit FROM r JOIN d USING (doc_id) JOIN eval_items e ON e.item_id = r.item_id WHERE rank <= 3 GROUP BY r.item_id) SELECT visual_type, count(*) AS n, round(avg(coalesce(hit, 0)), 6) AS rate FROM eval_items LEFT JOIN h USING (item_id) GROUP BY visual_type"
