@@ -21,6 +21,9 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from folioscope.runtime import ship
+
+    ship(s)
     yield s
     s.stop()
 
