@@ -12,10 +12,10 @@ import pyarrow as pa
 from folioscope.llm import charmap
 
 #: Classes in a folded array; every greater code is a letter or digit.
-DROP, SPACE, BREAK, STOP, MASK, OTHER = 0, 1, 2, 3, 4, 5
+DROP, SPACE, BREAK, STOP, MASK, DOT, OTHER = 0, 1, 2, 3, 4, 5, 6
 #: Codes handled at once at most, unless one text alone is longer: bounds a worker's memory.
 CHUNK = 1 << 17
-_EXPANDS = 6
+_EXPANDS = 7
 
 _BREAKS = "\n\r  \u0085\x0b\x0c"
 _STOPS = "。！？!?｡"
@@ -38,6 +38,8 @@ def _fold(ch: str) -> int | str:
         return STOP
     if letters in _MASKS:
         return MASK
+    if letters == ".":
+        return DOT
     if not letters.isalnum() and unicodedata.category(letters)[0] not in "L":
         return OTHER
     letters = charmap.TO_LATIN.get(letters, "3" if letters in "Зз" else letters)
