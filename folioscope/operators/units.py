@@ -192,77 +192,131 @@ def read_quantities(measures: DataFrame, source_units: DataFrame) -> DataFrame:
     )
 
 
-def _features(df: DataFrame, declared: Column) -> DataFrame:
-    """Magnitude, source, kind, language, the words beside the value and the default the source declares, as a vector."""
+def _features(df: DataFrame) -> DataFrame:
+    """Magnitude, source, kind, language, the word beside the value, and whether the source's default is meant, as a vector."""
     kinds = F.coalesce(*(F.when(F.col("quantity_kind") == k, F.lit(float(i))) for i, k in enumerate(COMMON)), F.lit(float(len(COMMON))))
     size = F.log10(F.abs("value") + F.lit(1e-6))
     fraction = (F.col("value") != F.floor("value")).cast("double")
     bucket = lambda c, n: (F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(""))), F.lit(n))).cast("double")
     df = df.withColumns({
-        "f_kind": kinds, "f_size": size, "f_fraction": fraction, "f_source": bucket("source", 32), "f_lang": bucket("lang", 8),
-        "f_word": bucket("field_word", 64), "f_declared": F.coalesce(declared.cast("double"), F.lit(-1.0)), "f_own": F.coalesce(F.col("declared").cast("double"), F.lit(-1.0)),
+        "f_kind": kinds, "f_size": size, "f_fraction": fraction, "f_source": bucket("source", 4096), "f_lang": bucket("lang", 8),
+        "f_word": bucket("field_word", 64), "f_silent": F.col("silent").cast("double"),
     })
     return VectorAssembler(inputCols=[c for c in df.columns if c.startswith("f_")], outputCol="features", handleInvalid="keep").transform(df)
 
 
-def assign_units(quantities: DataFrame, training_rows: int = TRAINING_ROWS, confident: float = CONFIDENT) -> DataFrame:
-    """Predict the unit of every row that has a value but states no unit.
+#: A row states no unit and its source declares a default: such rows are an own population among those the forest learns from.
+_SILENT = "label IS NULL AND declared IS NOT NULL"
 
-    A random forest is fitted on at most ``training_rows`` labelled rows (those with the smallest
-    hash of their id): rows that state their unit, and rows of sources that declare one. A fifth of
-    them is kept out to calibrate the forest's top probability by isotonic regression. Adds
-    ``predicted`` (label), ``probability`` (calibrated) and ``assigned`` (null below ``confident``).
-    Without any labelled row nothing is assigned.
-    """
-    q = quantities.where(F.col("value").isNotNull())
-    known = q.withColumn("target", F.coalesce("label", "declared").cast("double")).where(F.col("target").isNotNull())
+
+def _fitted(quantities: DataFrame, training_rows: int) -> tuple[DataFrame, list, object] | None:
+    """Held-out rows judged by the forest (``silent, quantity_kind, p, right``), the calibration curve of either population, and the forest."""
+    known = quantities.where("value IS NOT NULL").withColumn("silent", F.expr(_SILENT)).withColumn("target", F.coalesce("label", "declared").cast("double")).where("target IS NOT NULL")
     h = F.pmod(F.xxhash64("measure_id", F.lit("fit")), F.lit(1 << 40))
-    sample = cut(_features(known, F.when(F.col("label").isNull(), F.col("declared"))).withColumn("h", h).orderBy("h", "measure_id").limit(training_rows).select("measure_id", "h", "target", "features"))
-    missing = q.where(F.col("label").isNull())
-    if sample.isEmpty():
-        empty = F.lit(None)
-        return missing.withColumns({"predicted": empty.cast("int"), "probability": empty.cast("double"), "assigned": empty.cast("int")})
+    known = _features(known).withColumn("h", h).select("measure_id", "h", "silent", "quantity_kind", "target", "features")
+    half = lambda which: known.where(which).orderBy("h", "measure_id").limit(training_rows // 2)
+    sample = cut(half("silent").unionByName(half("NOT silent")))
     fit, held = sample.where(F.pmod("h", F.lit(5)) != 0), sample.where(F.pmod("h", F.lit(5)) == 0)
-    if fit.isEmpty() or held.isEmpty():
-        fit = held = sample
+    if fit.isEmpty():
+        return None
     forest = RandomForestClassifier(labelCol="target", numTrees=TREES, maxDepth=DEPTH, maxBins=64, featureSubsetStrategy="all", seed=7, subsamplingRate=0.8).fit(fit)
     top = F.array_max(vector_to_array("probability"))
-    judged = forest.transform(held).select(top.alias("p"), (F.col("prediction") == F.col("target")).cast("double").alias("right"))
-    curve = IsotonicRegression(featuresCol="p", labelCol="right").fit(judged).transform
-    scored = forest.transform(_features(missing, F.col("declared"))).withColumn("p", top)
-    scored = curve(scored.drop("probability", "prediction_").withColumnRenamed("prediction", "best"))
-    return scored.select(
-        *quantities.columns, F.col("best").cast("int").alias("predicted"), F.col("prediction").alias("probability"),
-        F.when((F.col("prediction") >= confident), F.col("best").cast("int")).alias("assigned"),
+    judged = cut(forest.transform(held).select("silent", "quantity_kind", top.alias("p"), (F.col("prediction") == F.col("target")).cast("double").alias("right")))
+    curves = []
+    for which in (True, False):
+        part = judged.where(F.col("silent") == which)
+        curves.append(None if part.isEmpty() else IsotonicRegression(featuresCol="p", labelCol="right").fit(part))
+    return judged, curves, forest
+
+
+def assign_units(quantities: DataFrame, training_rows: int = TRAINING_ROWS, confident: float = CONFIDENT) -> DataFrame:
+    """Predict the unit of every row that has a value but states no unit.
+
+    A random forest is fitted on at most ``training_rows`` labelled rows (those with the smallest
+    hash of their id), half of them rows that state their unit and half silent ones whose source
+    declares a default; neither the declaration nor the stated unit is a feature. A fifth is kept out
+    to calibrate the forest's top probability by isotonic regression, for either population by itself;
+    a silent row without a declaration is judged like those that state their unit. Adds ``predicted``
+    (label), ``probability`` (calibrated) and ``assigned`` (null below ``confident``). Without
+    labelled rows to fit and to calibrate on, nothing is assigned.
+    """
+    missing = quantities.where("value IS NOT NULL AND label IS NULL").withColumn("silent", F.expr(_SILENT))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("predicted", "int"), ("probability", "double"), ("assigned", "int"))]
+    fitted = _fitted(quantities, training_rows)
+    if fitted is None:
+        return missing.select(*quantities.columns, *none)
+    _, curves, forest = fitted
+    scored = forest.transform(_features(missing)).withColumn("p", F.array_max(vector_to_array("probability"))).drop("probability", "rawPrediction").withColumnRenamed("prediction", "best")
+    parts = []
+    for which, curve in zip((True, False), curves, strict=True):
+        part = scored.where(F.col("silent") == which)
+        sure = F.when(F.col("prediction") >= confident, F.col("best").cast("int"))
+        parts.append(part.select(*quantities.columns, *none) if curve is None else curve.transform(part).select(*quantities.columns, F.col("best").cast("int").alias("predicted"), F.col("prediction").alias("probability"), sure.alias("assigned")))
+    return parts[0].unionByName(parts[1])
+
+
+def held_out_accuracy(measures: DataFrame, source_units: DataFrame, training_rows: int = TRAINING_ROWS, confident: float = CONFIDENT) -> DataFrame:
+    """How the forest does on rows it wasn't fitted on, their units hidden.
+
+    ``(quantity_kind, silent, n, accuracy, n_confident, confident_accuracy, calibration_error)`` per
+    kind and population; the error is the mean distance of calibrated probability and outcome over
+    fifths of the probability, weighted by rows.
+    """
+    fitted = _fitted(cut(read_quantities(measures, source_units)), training_rows)
+    if fitted is None:
+        return measures.sparkSession.createDataFrame([], "quantity_kind string, silent boolean, n bigint, accuracy double, n_confident bigint, confident_accuracy double, calibration_error double")
+    judged, curves, _ = fitted
+    parts = [c.transform(judged.where(F.col("silent") == which)) for which, c in zip((True, False), curves, strict=True) if c is not None]
+    if not parts:
+        parts = [judged.where("false").withColumn("prediction", F.lit(0.0))]
+    scored = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    fifth = F.least(F.floor(F.col("prediction") * 5), F.lit(4))
+    bins = scored.groupBy("quantity_kind", "silent", fifth.alias("fifth")).agg(
+        F.count("*").alias("m"), F.sum("right").alias("r"), F.sum("prediction").alias("s"),
+        F.count_if(F.col("prediction") >= confident).alias("c"), F.sum(F.when(F.col("prediction") >= confident, F.col("right"))).alias("cr"),
+    )
+    n = F.sum("m")
+    return bins.groupBy("quantity_kind", "silent").agg(
+        n.alias("n"), F.round(F.sum("r") / n, 4).alias("accuracy"), F.sum("c").alias("n_confident"),
+        F.round(F.try_divide(F.sum("cr"), F.sum("c")), 4).alias("confident_accuracy"), F.round(F.sum(F.abs(F.col("r") - F.col("s"))) / n, 4).alias("calibration_error"),
     )
 
 
 def convert(measures: DataFrame, source_units: DataFrame, training_rows: int = TRAINING_ROWS, confident: float = CONFIDENT) -> DataFrame:
-    """Every measure with a value: ``measure_id, quantity_kind, common_unit, common_value, origin, probability``.
+    """Every measure with a value: ``measure_id, quantity_kind, common_unit, common_value, origin, probability, declares``.
 
-    ``origin`` is ``stated``; ``predicted`` (confident, checked against the source's declaration
-    where there is one); ``declared`` (the classifier was uncertain or contradicted, and the review
-    is settled by the declaration); ``guess`` (confident, but nothing declared: a proposal, with a
-    value) or ``review`` (uncertain and nothing declared: no value).
+    ``origin`` is ``stated``; ``predicted`` (no unit stated: the forest is confident, and its unit is
+    taken); ``declared`` (the forest is uncertain; the review is settled by the source's default) or
+    ``review`` (uncertain and nothing declared: no value). ``declares`` says whether the source
+    declares a default for the kind.
     """
     q = cut(read_quantities(measures, source_units))  # read three times below: parse once
-    stated = q.where(F.col("common").isNotNull()).select("*", F.lit("stated").alias("origin"), F.lit(1.0).alias("probability"))
+    declares = F.col("declared").isNotNull().alias("declares")
+    stated = q.where("common IS NOT NULL").select("*", F.lit("stated").alias("origin"), F.lit(1.0).alias("probability"), declares)
     a = assign_units(q, training_rows, confident)
     units = F.broadcast(_spellings(measures.sparkSession).groupBy("kind", "label", "factor", "offset").count().drop("count"))
-    sure = F.col("assigned").isNotNull() & F.col("kind").isNotNull()
-    a = a.join(
-        units.select("kind", *(F.col(c).alias(f"given_{c}") for c in ("label", "factor", "offset"))),
-        (F.coalesce("declared", "assigned") == F.col("given_label")) & (F.col("quantity_kind") == F.col("kind")), "left",
+    a = a.withColumn("taken", F.coalesce("assigned", "declared")).join(
+        units.select("kind", *(F.col(c).alias(f"given_{c}") for c in ("label", "factor", "offset"))), (F.col("taken") == F.col("given_label")) & (F.col("quantity_kind") == F.col("kind")), "left",
     )
-    origin = F.when(sure & (F.col("assigned") == F.col("declared")), "predicted").when(F.col("declared").isNotNull(), "declared").when(sure, "guess").otherwise("review")
-    a = a.withColumn("origin", origin).withColumn("common", F.col("value") * F.col("given_factor") + F.col("given_offset")).select(*stated.columns)
+    origin = F.when(F.col("given_label").isNull(), "review").when(F.col("assigned").isNotNull(), "predicted").otherwise("declared")
+    a = a.withColumn("origin", origin).withColumn("common", F.col("value") * F.col("given_factor") + F.col("given_offset")).withColumn("declares", declares).select(*stated.columns)
     unit = F.element_at(F.create_map(*(F.lit(x) for item in COMMON.items() for x in item)), F.col("quantity_kind"))
     return stated.unionByName(a).select(
-        "measure_id", "quantity_kind", unit.alias("common_unit"), F.round("common").cast("bigint").alias("common_value"), "origin", "probability"
+        "measure_id", "quantity_kind", unit.alias("common_unit"), F.round("common").cast("bigint").alias("common_value"), "origin", "probability", "declares"
     )
 
 
+def review(measures: DataFrame, source_units: DataFrame) -> DataFrame:
+    """Measures for people to look at: uncertain predictions, and confident ones where the source declares nothing, with the value they would get."""
+    c = convert(measures, source_units).where("origin IN ('declared', 'review') OR origin = 'predicted' AND NOT declares")
+    return c.select("measure_id", "quantity_kind", "common_value", "origin", F.round("probability", 4).alias("probability"))
+
+
 def units_found(measures: DataFrame, source_units: DataFrame) -> DataFrame:
-    """Measures whose value and unit can be told: ``(measure_id, common_unit, common_value)``."""
-    told = convert(measures, source_units).where(F.col("origin").isin("stated", "predicted", "declared") & F.col("common_value").isNotNull())
+    """Measures whose value and unit can be told: ``(measure_id, common_unit, common_value)``.
+
+    A unit that is nowhere stated can be told only where the source declares what it means; which unit
+    that is the forest decides where it is confident.
+    """
+    told = convert(measures, source_units).where("(origin = 'stated' OR origin <> 'review' AND declares) AND common_value IS NOT NULL")
     return told.select("measure_id", "common_unit", "common_value")

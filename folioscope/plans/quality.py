@@ -18,6 +18,15 @@ def p3_origins(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("quantity_kind", "origin").agg(F.count("*").alias("n"))
 
 
+def p3_review(spark: SparkSession, d: str) -> DataFrame:
+    return units.review(table(spark, d, "measures"), table(spark, d, "source_units"))
+
+
+def p3_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out accuracy and calibration of the classifier, by kind."""
+    return units.held_out_accuracy(table(spark, d, "measures"), table(spark, d, "source_units"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies_found(table(spark, d, "cells"), table(spark, d, "cells_b"), table(spark, d, "sections"))
 
@@ -26,7 +35,7 @@ def p4_summary(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("record_kind", "difference").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_origins": p3_origins, "p4_found": p4_found, "p4_summary": p4_summary}
+QUERIES = {"p3_found": p3_found, "p3_origins": p3_origins, "p3_review": p3_review, "p3_accuracy": p3_accuracy, "p4_found": p4_found, "p4_summary": p4_summary}
 
 _NEWEST = "SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY loaded_at DESC) AS rn FROM {t}"
 

@@ -50,8 +50,37 @@ def test_empty(spark):
     assert units.units_found(m, s).count() == 0
 
 
+def _silent_rows(unit_of, n=100, known=90, source="z"):
+    return [(i, source, "en", "volume", float(i % 7 + 1), unit_of(i) if i < known else None, None, None, None, 0, "", "") for i in range(n)]
+
+
 def test_uncertain_goes_to_review(spark):
-    rows = [(i, "z", "en", "volume", float(i % 7 + 1), ("ml", "l", "m3")[i % 3] if i < 90 else None, None, "x", None, 0, "", "") for i in range(100)]
-    c = units.convert(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("q", "mass", "kg")], "source string, quantity_kind string, default_unit string"))
-    n = {r.origin: r.n for r in c.groupBy("origin").agg(F.count("*").alias("n")).collect()}
-    assert n["stated"] == 90 and n.get("review", 0) + n.get("guess", 0) == 10 and n.get("review", 0) > 0
+    rows = _silent_rows(lambda i: ("ml", "l", "m3")[i % 3])
+    m, s = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("q", "mass", "kg")], "source string, quantity_kind string, default_unit string")
+    n = {r.origin: r.n for r in units.convert(m, s).groupBy("origin").agg(F.count("*").alias("n")).collect()}
+    assert n["stated"] == 90 and n.get("review", 0) + n.get("predicted", 0) == 10 and n.get("review", 0) > 0
+    assert units.review(m, s).count() == 10
+    assert units.units_found(m, s).count() == 90  # nothing declared: the unit can't be told
+
+
+def test_the_forest_decides(spark):
+    """Without forest the declaration would convert these rows to litres."""
+    rows = [(i, "z", "en", "volume", float(i % 7 + 1), None, None, None, None, 0, "", "") for i in range(200)]
+    rows += [(1000 + i, "y", "en", "volume", float(i % 7 + 1), "ml", None, None, None, 0, "", "") for i in range(200)]
+    m = spark.createDataFrame(rows, SCHEMA)
+    s = spark.createDataFrame([("z", "volume", "l")], "source string, quantity_kind string, default_unit string")
+    c = {(r.origin, r.declares): r.n for r in units.convert(m, s).groupBy("origin", "declares").agg(F.count("*").alias("n")).collect()}
+    assert c == {("predicted", True): 200, ("stated", False): 200}
+    without = units.convert(m, s, training_rows=0)
+    assert {r.origin for r in without.collect()} == {"stated", "declared"}
+
+
+def test_held_out_accuracy(spark, sf):
+    """Units hidden: what is believed is right, and probabilities mean what they say."""
+    d = sf.rsplit("/", 1)[0] + "/sf0.01"
+    r = units.held_out_accuracy(spark.read.parquet(f"{d}/measures.parquet"), spark.read.parquet(f"{d}/source_units.parquet")).collect()
+    sure = sum(x.n_confident for x in r)
+    assert sure > 50 and sum(x.n_confident * (x.confident_accuracy or 0) for x in r) / sure >= 0.9
+    assert sum(x.n * x.calibration_error for x in r) / sum(x.n for x in r) < 0.15
+    silent = [x for x in r if x.silent]
+    assert sum(x.n * x.accuracy for x in silent) / sum(x.n for x in silent) >= 0.85
