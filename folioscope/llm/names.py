@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscope.llm import letters
 from folioscope.llm.similar import near_pairs
@@ -60,8 +60,8 @@ def _given(word: str) -> str:
     return ""
 
 
-def parse_name(company: str) -> tuple[str, str, str] | None:
-    """(kind, core, attribute) of a name: ``org`` with its line of business, ``person`` with given names or an initial."""
+def parse_name(company: str) -> tuple[str, str, str, list[str]] | None:
+    """(kind, core, attribute, words) of a name: ``org`` with its line of business, ``person`` with given names or an initial; the core in one piece and as words."""
     text = letters.plain(company)
     text = re.sub(r"\(\s*株\s*\)|\(\s*有\s*\)", " ", text)
     if any(letters.is_kanji(c) or letters.is_kana(c) for c in text):
@@ -73,7 +73,7 @@ def parse_name(company: str) -> tuple[str, str, str] | None:
         text = re.sub(r"\bco\b\.?|\bltd\b\.?|\binc\b\.?|[\s・ー.,\-&()]", "", text)
         line = next((w for w in sorted(_line_of(), key=len, reverse=True) if not w.isascii() and text.endswith(w) and len(text) > len(w)), "")
         core = letters.romaji(text[: len(text) - len(line)])
-        return ("org", core, _line_of().get(line, "")) if core else None
+        return ("org", core, _line_of().get(line, ""), [core]) if core else None
     comma = "," in text
     text = re.sub(r"\b((?:[a-z]\.\s?){2,})", lambda m: re.sub(r"[.\s]", "", m.group(1)) + " ", text)
     text = re.sub(r"\bco\.?\s*,\s*ltd\b\.?|\bco\.\s*|\bltd\.?", " ", text).replace("'", "")
@@ -93,7 +93,7 @@ def parse_name(company: str) -> tuple[str, str, str] | None:
         kept.append(words)
     kept = [p for p in kept if p]
     if not kept:
-        return ("org", letters.romaji("".join(w for p in parts for w in p)), line) if any(parts) else None
+        return ("org", letters.romaji("".join(w for p in parts for w in p)), line, [w for p in parts for w in p]) if any(parts) else None
     if not line and not legal:
         flat = [w for p in kept for w in p]
         if comma and len(kept) == 2 and kept[1]:
@@ -104,15 +104,15 @@ def parse_name(company: str) -> tuple[str, str, str] | None:
         if rest and (name or initials or mx):
             surname = "".join(w for w in rest if len(w) > 1)
             if surname:
-                return ("person", surname, name or first)
+                return ("person", surname, name or first, [w for w in rest if len(w) > 1])
     if len(kept) >= 2 and comma:
         kept = [kept[1], kept[0], *kept[2:]]
-    core = "".join(w for p in kept for w in p if len(w) > 1) or "".join(w for p in kept for w in p)
-    return "org", core, line
+    words = [w for p in kept for w in p if len(w) > 1] or [w for p in kept for w in p]
+    return "org", "".join(words), line, words
 
 
 def parse_names(parties: DataFrame) -> DataFrame:
-    """``(party_id, kind, core, attribute, kana)`` of every record with a usable name."""
+    """``(party_id, kind, core, attribute, words, kana)`` of every record with a usable name."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -121,41 +121,91 @@ def parse_names(parties: DataFrame) -> DataFrame:
                 name = parse_name(company)
                 if name:
                     out.append((key, *name, letters.kana_of(name[1]) if name[0] == "org" else ""))
-            yield pd.DataFrame(out, columns=["party_id", "kind", "core", "attribute", "kana"])
+            yield pd.DataFrame(out, columns=["party_id", "kind", "core", "attribute", "words", "kana"])
 
     p = parties.where("party_id IS NOT NULL AND company IS NOT NULL").select(F.col("party_id").cast("bigint"), "company")
-    return p.mapInPandas(parse, "party_id bigint, kind string, core string, attribute string, kana string")
+    return p.mapInPandas(parse, "party_id bigint, kind string, core string, attribute string, words array<string>, kana string")
 
 
-#: Soft weighted similarity of the tokens from which two names are one, and what a core weighs at least.
-ALIKE, LEAST_WEIGHT = 0.75, 4.0
+#: Soft weighted similarity of the tokens from which two names are one, and from which a pair is weighed at all.
+ALIKE, WEIGHED = 0.75, 0.5
+
+
+def _token_likeness(x: Column, y: Column) -> Column:
+    """How far one word may stand for another: equal, one edit apart, a short form (same first letter, its letters in their order), or an initial."""
+    short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
+    in_order = F.rlike(long, F.concat(F.lit("^"), F.array_join(F.filter(F.split(short, ""), lambda c: c != ""), ".*")))
+    same_start = F.substr(x, F.lit(1), F.lit(1)) == F.substr(y, F.lit(1), F.lit(1))
+    return (
+        F.when(x == y, 1.0)
+        .when(~same_start, F.when((F.length(short) >= 5) & (F.levenshtein(x, y) <= 1), 0.9).otherwise(0.0))
+        .when(F.length(short) == 1, 0.5)
+        .when(((F.length(short) >= 5) & (F.levenshtein(x, y) <= 1)) | ((F.length(short) >= 3) & in_order), 0.9)
+        .otherwise(0.0)
+    )
+
+
+def similar_words(names: DataFrame) -> DataFrame:
+    """``(kind_a, a, kind_b, b, soft)`` for ordered pairs of distinct cores with ``words`` in common, in any order.
+
+    Words weigh the more the rarer they are among the distinct names. Prefix filter: the words of a
+    name are ordered by rarity, and of those only as many are joined as leave less than a third of the
+    name's weight, because a pair that shares none of them cannot reach the similarity. ``soft`` is the
+    weight of the words that have a counterpart, times how alike the two are, over all weight of both
+    names; pairs below WEIGHED are not returned. Words that all differ are left to the join of whole cores.
+    """
+    bags = names.select("kind", "core", F.array_sort(F.array_distinct("words")).alias("bag")).where(F.size("bag") > 0).groupBy("kind", "core").agg(F.min("bag").alias("bag"))
+    each = bags.select("kind", "core", F.explode("bag").alias("word"))
+    rarity = each.groupBy("word").agg(F.count("*").alias("n"))
+    total = bags.agg(F.count("*").alias("total"))
+    weighed = each.join(rarity, "word").join(F.broadcast(total)).withColumn("weight", F.log(1 + F.col("total") / F.col("n")))
+    full = weighed.groupBy("kind", "core").agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("bag"), F.sum("weight").alias("sum"))
+    full = cut(full.withColumn("ranked", F.array_sort(F.transform("bag", lambda x: F.struct((-x["weight"]).alias("r"), x["word"].alias("word"))))))
+    before = F.transform("ranked", lambda x, i: F.struct(x["word"].alias("word"), F.aggregate(F.slice("ranked", 1, i), F.lit(0.0), lambda s, y: s - y["r"]).alias("before")))
+    keys = full.select("kind", "core", "bag", "sum", F.explode(F.filter(before, lambda x: x["before"] <= F.col("sum") * 2 / 3)).alias("k")).select("kind", "core", "bag", "sum", "k.word")
+    a = keys.select("word", *(F.col(c).alias(f"{c}_a") for c in ("kind", "core", "bag", "sum")))
+    b = keys.select("word", *(F.col(c).alias(f"{c}_b") for c in ("kind", "core", "bag", "sum")))
+    # One side's weight is at most so much of the other's when the similarity is reached.
+    pairs = a.join(b, "word").where("core_a < core_b AND least(sum_a, sum_b) * 3 >= greatest(sum_a, sum_b)")
+    pairs = pairs.groupBy("kind_a", "core_a", "kind_b", "core_b").agg(*(F.first(c).alias(c) for c in ("bag_a", "bag_b", "sum_a", "sum_b")))
+    matched = lambda x, y: F.aggregate(x, F.lit(0.0), lambda s, u: s + u["weight"] * F.array_max(F.transform(y, lambda v: _token_likeness(u["word"], v["word"]))))
+    soft = (matched(F.col("bag_a"), F.col("bag_b")) + matched(F.col("bag_b"), F.col("bag_a"))) / (F.col("sum_a") + F.col("sum_b"))
+    found = pairs.withColumn("soft", soft).where(F.col("soft") >= WEIGHED).select("kind_a", F.col("core_a").alias("a"), "kind_b", F.col("core_b").alias("b"), "soft")
+    return found.unionByName(found.select(F.col("kind_b").alias("kind_a"), F.col("b").alias("a"), F.col("kind_a").alias("kind_b"), F.col("a").alias("b"), "soft"))
 
 
 def link_names(parties: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members ``(party_id, class_id)`` of the classes of equal names, and links ``(class_a, class_b, score)`` between them.
 
     Names are parsed into a core (the name proper, as letters; katakana in romaji) and an attribute
-    (line of business or given name). Distinct cores are joined on q-grams with a prefix filter.
-    Verification is a soft weighted token similarity: the core weighs the more the rarer it is among
-    the names, the attribute the more the rarer its value; tokens count by edit similarity, a missing
-    one by half, contradicting ones (another line of business, another given name) forbid the link.
-    A name without a line of business joins one only where its core stands in one line alone.
+    (line of business or given name). Distinct cores are joined on q-grams with a prefix filter, and
+    on their rarest words. Verification is a soft weighted token similarity: core and attribute weigh
+    the more the rarer they are among the distinct names, cores count by edit or word similarity, a
+    missing attribute by half, an initial by three quarters, contradicting ones (another line of business, another given name)
+    forbid the link. A name without a line of business joins one only where its core stands in one
+    line alone. Pairs of different lines or first letters are not compared, as they could not be linked.
     """
     named = cut(parse_names(parties))
-    classes = cut(named.groupBy("kind", "core", "attribute").agg(F.min("party_id").alias("class_id"), F.count("*").alias("n"), F.min("kana").alias("kana")))
+    classes = cut(named.groupBy("kind", "core", "attribute").agg(F.min("party_id").alias("class_id"), F.min("words").alias("words"), F.min("kana").alias("kana")))
     members = named.join(classes.select("kind", "core", "attribute", "class_id"), ["kind", "core", "attribute"]).select("party_id", "class_id")
-    # Only names that may be linked are compared: of one line of business (those without one in every line), or of one first letter of the given name.
     scopes = F.when(F.col("kind") == "person", F.array_distinct(F.transform(F.split("attribute", r"\|"), lambda x: F.substr(x, F.lit(1), F.lit(1))))).otherwise(
         F.when(F.col("attribute") != "", F.array("attribute")).otherwise(F.array(*(F.lit(x) for x in LINES)))
     )
     cores = classes.select("kind", "core", "kana", F.explode(scopes).alias("s")).select(F.concat_ws("|", "kind", "s").alias("scope"), F.col("core").alias("text"), "kana").distinct()
     near = near_pairs(cores).select(F.substring_index("scope", "|", 1).alias("scope"), "a", "b", "distance")
-    same = classes.select(F.col("kind").alias("scope"), F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("distance"))
-    near = cut(near.unionByName(same).distinct())
-    side = lambda x: classes.select(F.col("kind").alias("scope"), F.col("core").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("attribute", "class_id", "n")))
+    edited = near.withColumn("soft", 1 - F.col("distance") / F.greatest(F.length("a"), F.length("b")))
+    same = classes.select(F.col("kind").alias("scope"), F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("distance"), F.lit(1.0).alias("soft"))
+    worded = cut(similar_words(classes))
+    by_words = worded.where("kind_a = kind_b").select(F.col("kind_a").alias("scope"), "a", "b", F.lit(2).alias("distance"), "soft")
+    near = cut(edited.unionByName(same).unionByName(by_words).groupBy("scope", "a", "b").agg(F.min("distance").alias("distance"), F.max("soft").alias("soft")))
+    total = classes.select(F.count("*").alias("total"))
+    rarity = lambda *by: classes.groupBy(*by).agg(F.count("*").alias("k")).join(F.broadcast(total)).select(*by, F.log(1 + F.col("total") / F.col("k")).alias("weight"))
+    core_weight, attribute_weight = rarity("kind", "core"), rarity("kind", "attribute")
+    weighed = classes.join(core_weight, ["kind", "core"]).withColumnRenamed("weight", "core_weight").join(attribute_weight, ["kind", "attribute"])
+    side = lambda x: weighed.select(F.col("kind").alias("scope"), F.col("core").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("attribute", "class_id", "core_weight", "weight")))
     # How many lines of business stand by a core and its near spellings.
     lines = (
-        near.where("scope = 'org'").join(side("b").where("attribute_b <> ''"), ["scope", "b"])
+        near.where("scope = 'org' AND soft >= 0.75").join(side("b").where("attribute_b <> ''"), ["scope", "b"])
         .groupBy("scope", "a").agg(F.count_distinct("attribute_b").alias("lines"))
     )
     pairs = near.join(side("a"), ["scope", "a"]).join(side("b"), ["scope", "b"]).where("class_id_a < class_id_b")
@@ -168,15 +218,19 @@ def link_names(parties: DataFrame) -> tuple[DataFrame, DataFrame]:
     given = F.when(initial, F.exists(F.split(a, r"\|"), lambda x: F.exists(F.split(b, r"\|"), lambda y: F.substr(x, F.lit(1), F.lit(1)) == F.substr(y, F.lit(1), F.lit(1))))).otherwise(
         F.arrays_overlap(F.split(a, r"\|"), F.split(b, r"\|"))
     )
-    alike = F.when(a == b, 1.0).when(org & ((a == "") | (b == "")), F.when(F.col("single"), 0.5)).when(~org & given, F.when(initial, 0.5).otherwise(1.0))
-    total = classes.select(F.count("*").alias("total"))
-    weight_core = F.greatest(F.log(1 + F.col("total") / F.greatest("n_a", "n_b")), F.lit(LEAST_WEIGHT))
-    weight_attribute = F.when(~org & (alike == 1.0), F.lit(2.0)).otherwise(F.lit(1.0))
-    soft = 1 - F.col("distance") / F.greatest(F.length("a"), F.length("b"))
-    score = (weight_core * soft + weight_attribute * alike) / (weight_core + weight_attribute)
+    alike = F.when(a == b, 1.0).when(org & ((a == "") | (b == "")), F.when(F.col("single"), 0.5)).when(~org & given, F.when(initial, 0.75).otherwise(1.0))
+    core, attribute = F.least("core_weight_a", "core_weight_b"), F.least("weight_a", "weight_b")
+    score = (core * F.col("soft") + attribute * alike) / (core + attribute)
     close = (F.col("distance") <= 1) | (alike == 1.0) | (org & (F.least(F.length("a"), F.length("b")) >= 12))
-    links = pairs.join(F.broadcast(total)).where(alike.isNotNull() & close).withColumn("score", score)
-    return members, links.select(F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"), "score").where(F.col("score") >= ALIKE)
+    links = pairs.where(alike.isNotNull() & close).withColumn("score", score)
+    links = links.select(F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"), "score")
+    # A person's name whose given name no list holds reads like an organisation's: its words must all have a counterpart.
+    person = classes.where("kind = 'person' AND length(attribute) = 1").select(F.col("core").alias("a"), "attribute", F.col("class_id").alias("class_p"))
+    other = classes.where("kind = 'org' AND attribute = ''").select(F.col("core").alias("b"), "words", F.col("class_id").alias("class_o"))
+    turned = worded.where("kind_a = 'person' AND kind_b = 'org'").join(person, "a").join(other, "b")
+    turned = turned.where(F.exists("words", lambda x: (F.length(x) > 1) & x.startswith(F.col("attribute"))) & (F.size("words") >= 2))
+    crossed = turned.select(F.least("class_p", "class_o").alias("class_a"), F.greatest("class_p", "class_o").alias("class_b"), F.lit(ALIKE).alias("score"))
+    return members, links.where(F.col("score") >= ALIKE).unionByName(crossed).distinct()
 
 
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:

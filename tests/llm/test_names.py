@@ -9,6 +9,9 @@ SAME = [
     ("Galpos Elmistrin Chemical Co., Ltd.", "CHEMICAL GALPOS ELMISTRIN COMPANY LIMITED"), ("Galpos Elmistrin Chemical Co., Ltd.", "Elmistrin, Galpps Chem."), ("株式会社ヒレドガヒ化学", "Hierdogahi Chemical KK"),
     ("㈱黒龍瀧坂宮化学　購買課", "黒竜滝坂宮化学株式会社"), ("Victoria Pelbel-Rinbrised", "Rinbrised"), ("Mx Victoria Pelbel-Rinbrised", "Pelel-Rinbrised, Vicky"), ("Électricité Narsed Varethkar SAS", "Narsedvarethkar Elec. S.A.S."),
     ("T. Rudeth-Prabelvel", "Thomas A. Rudeth-Prabelvel"), ("Tamost Elmvelelm Llc", "PKG. TAMOST ELMVELELM"),
+    # words that stand in no list
+    ("Hartwell Brothers Ltd", "Hartwell Bros. Ltd"), ("Meridia International plc", "Meridia Intl"), ("Castleford Insurance Co.", "Castleford Ins. Company"), ("Novexa Pharmaceutical Inc", "Novexa Pharma Inc."),
+    ("Textiles Yamato Ltd", "Yamato Textiles Ltd"), ("Chidi Okafor", "C. Okafor"), ("Adaeze Nwosu-Bello", "Nwosu-Bello, Adaeze"),
 ]
 
 
@@ -19,6 +22,7 @@ def pairs(spark):
         rows += [(n, a, "x"), (n + 1, b, "x")]
         n += 2
     rows += [(100, "Belald Tamhastorn Electric", "x"), (101, "Belald Tamhastorn Manufacturing", "x"), (102, "Belald Tamhastorn LLC", "x"), (103, None, "x"), (104, "", "x"), (105, "---", "x"), (106, "Margaret Pelbel-Rinbrised", "x")]
+    rows += [(300, "Hartwell Insurance Ltd", "x"), (301, "Meridia Brothers", "x"), (302, "Ngozi Okafor", "x")]
     rows += [(200 + i, "Oxkar Ludbel Foods Inc.", "x") for i in range(6)]
     df = spark.createDataFrame(rows, "party_id bigint, company string, core string")
     return {tuple(r) for r in names.found(df).collect()}
@@ -33,10 +37,51 @@ def test_different(pairs):
     assert (100, 101) not in pairs  # another line of business
     assert (100, 102) not in pairs and (101, 102) not in pairs  # could be either
     assert not any(106 in p and (8 in p or 10 in p) for p in pairs)  # another given name
+    assert not any(x in p and not {300, 301, 302} >= set(p) for p in pairs for x in (300, 301, 302) if x != 301 or 301 in p)
     assert not any({103, 104, 105} & set(p) for p in pairs)
     assert sum(a >= 200 and b >= 200 for a, b in pairs) == 15 and all(a < b for a, b in pairs)
 
 
+def test_recall_by_kind_of_variant(spark):
+    """Typo, abbreviation, reordering and nickname, each over thirty organisations or persons whose words stand in no list."""
+    import random
+
+    rng = random.Random(4)
+    syllables = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
+    word = lambda n: "".join(rng.choices(syllables, k=n))
+    common = ["brothers", "international", "insurance", "pharmaceutical", "associates", "ventures"]
+    rows, want = [], {}
+    for i in range(120):
+        kind = ("typo", "abbreviation", "reordering", "nickname")[i % 4]
+        a, b, c = word(3), word(4), rng.choice(common)
+        full = f"{a} {b} {c}"
+        if kind == "typo":
+            k = rng.randrange(len(b))
+            other = f"{a} {b[:k] + rng.choice('xqw') + b[k + 1:]} {c}"
+        elif kind == "abbreviation":
+            other = f"{a} {b} {c[0] + ''.join(x for x in c[1:] if x not in 'aeiou')}"
+        elif kind == "reordering":
+            other = f"{c} {b} {a}"
+        else:
+            full, other = f"Robert {a}{b}", f"Bob {a}{b}"
+        rows += [(2 * i, full), (2 * i + 1, other)]
+        want.setdefault(kind, set()).add((2 * i, 2 * i + 1))
+    got = {tuple(r) for r in names.found(spark.createDataFrame(rows, "party_id bigint, company string")).collect()}
+    for kind, pairs in want.items():
+        assert len(pairs & got) >= 0.9 * len(pairs), kind
+    assert len(got - set().union(*want.values())) <= 2
+
+
+def test_the_threshold_rejects(spark):
+    """Names that share a rare word and no more are weighed and rejected."""
+    rows = [(i, f"Zebulon {w} Ltd", 0) for i, w in enumerate(("Foundry", "Orchard", "Mattress", "Bakery"))]
+    df = spark.createDataFrame(rows, "party_id bigint, company string, x int")
+    words = spark.createDataFrame([("org", f"zebulon{w}", ["zebulon", w]) for w in ("foundry", "foundries", "bakery")], "kind string, core string, words array<string>")
+    assert names.found(df).count() == 0
+    soft = {(r.a, r.b): r.soft for r in names.similar_words(words).collect()}
+    assert all(v < names.ALIKE for k, v in soft.items() if "zebulonbakery" in k)
+
+
 def test_empty(spark):
     assert names.found(spark.createDataFrame([], "party_id bigint, company string")).count() == 0
 
