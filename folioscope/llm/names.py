@@ -248,9 +248,13 @@ def found(parties: DataFrame) -> DataFrame:
     return expand(*link_names(parties))
 
 
-def classes_with_links(parties: DataFrame) -> DataFrame:
-    """One row per record: ``(party_id, class_id, n_links)``, the class of its exact name and the number of linked classes."""
-    members, links = link_names(parties)
+def per_record(members: DataFrame, links: DataFrame) -> DataFrame:
+    """One row per record: ``(party_id, class_id, n_links)``, its class and the number of classes linked to that."""
     both = links.select(F.col("class_a").alias("class_id")).unionByName(links.select(F.col("class_b").alias("class_id")))
     n = both.groupBy("class_id").agg(F.count("*").alias("n_links"))
     return members.join(n, "class_id", "left").select("party_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def classes_with_links(parties: DataFrame) -> DataFrame:
+    """One row per record, with the class of its exact name and the number of linked classes."""
+    return per_record(*link_names(parties))

@@ -18,10 +18,8 @@ from folioscope.runtime import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Ranks within a length are given in so many independent shares, so that a length of very many texts is no one task.
-SHARES = 64
-#: Plans up to this size travel to every executor; their size depends on the capacities, not on the texts.
-BROADCAST_RUNS = 500_000
+#: Ranks within a length are given in independent shares of about so many pieces, so that a length of very many texts is no one task.
+SHARE = 100_000
 
 
 class Tokenizer:
@@ -47,47 +45,52 @@ class Tokenizer:
             return a != "S" and len(after) > 1 and not after[1].isspace()
         return a not in ("S", b) and before[-1] != "'"
 
+    def _fits(self, data: bytes, low: int, high: int, capacity: int) -> tuple[int, int]:
+        """(end, tokens) of the longest part from ``low`` that ends at ``high`` or a little before and has at most ``capacity`` tokens by itself."""
+        while True:
+            while high > low and high < len(data) and data[high] & 0xC0 == 0x80:
+                high -= 1
+            if high <= low:  # one character, even if it has more tokens than the capacity
+                high = low + 1
+                while high < len(data) and data[high] & 0xC0 == 0x80:
+                    high += 1
+                return high, len(self.encode(data[low:high].decode("utf-8")))
+            tokens = self.encode(data[low:high].decode("utf-8"))
+            if len(tokens) <= capacity:
+                return high, len(tokens)
+            high = low + int(self.size[tokens[:capacity]].sum())
+
     def split(self, data: bytes, tokens: list[int], capacity: int) -> list[tuple[int, int, int]]:
-        """(start, end, tokens) in characters of consecutive parts of at most ``capacity`` tokens each."""
+        """(start, end, tokens) in characters of consecutive parts of at most ``capacity`` tokens each.
+
+        Parts end where pre-tokenisation breaks, at the last such place of the part's second half, so
+        that its tokens are those of the whole; where there is none the part is encoded by itself, so the
+        work grows with the text, broken or not.
+        """
         stops = np.cumsum(self.size[tokens])
-        parts, i, low, start = [], 0, 0, 0
-        while i < len(tokens):
+        parts, low, start, aligned = [], 0, 0, True
+        while low < len(data):
+            i = int(np.searchsorted(stops, low, "right"))
             j = min(i + capacity, len(tokens))
-            n = j - i
-            if j < len(tokens):
+            high, n = int(stops[j - 1]), j - i
+            if j < len(tokens) or not aligned:
                 best = 0
-                for k in range(j, max(i, j - 128), -1):
+                for k in range(j, i + (j - i) // 2, -1) if j < len(tokens) and aligned else ():
                     b = int(stops[k - 1])
                     if data[b] & 0xC0 != 0x80 and self._clean(data[max(low, b - 4) : b].decode("utf-8", "ignore") or "?", data[b : b + 8].decode("utf-8", "ignore")):
                         best = k
                         break
-                n = best - i
-                if not best:  # no clean place: count the part as it is when it stands alone
-                    best = j
-                    while True:
-                        b = int(stops[best - 1])
-                        while b > low and data[b] & 0xC0 == 0x80:
-                            b -= 1
-                        n = len(self.encode(data[low:b].decode("utf-8"))) if b > low else 0
-                        if 0 < n <= capacity or best == i + 1:
-                            break
-                        best -= 1
-                    if b <= low:  # a single character of more tokens than the capacity
-                        b = low + 1
-                        while b < len(data) and data[b] & 0xC0 == 0x80:
-                            b += 1
-                        n = len(self.encode(data[low:b].decode("utf-8")))
-                    text = data[low:b].decode("utf-8")
-                    parts.append((start, start + len(text), n))
-                    start, low = start + len(text), b
-                    tokens = self.encode(data[low:].decode("utf-8"))
-                    stops, i = low + np.cumsum(self.size[tokens]), 0
-                    continue
-                j = best
-            high = int(stops[j - 1])
+                if best:
+                    high, n = int(stops[best - 1]), best - i
+                else:
+                    high, n = self._fits(data, low, high, capacity)
+                    k = int(np.searchsorted(stops, high, "left"))
+                    # Tokens of the rest are those of the whole only behind a clean break.
+                    at = high < len(data) and k < len(tokens) and int(stops[k]) == high
+                    aligned = at and self._clean(data[max(low, high - 4) : high].decode("utf-8", "ignore") or "?", data[high : high + 8].decode("utf-8", "ignore"))
             chars = len(data[low:high].decode("utf-8"))
             parts.append((start, start + chars, n))
-            i, low, start = j, high, start + chars
+            low, start = high, start + chars
         return parts
 
 
@@ -162,11 +165,11 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
-def assign(documents: DataFrame, windows: DataFrame, path: str = TOKENIZER, shares: int = SHARES) -> DataFrame:
+def assign(documents: DataFrame, windows: DataFrame, path: str = TOKENIZER, share_of: int = SHARE) -> DataFrame:
     """``(window_id, bin_id, doc_id, part, start_char, end_char, n_tokens)`` for every non-null text and window kind.
 
     Lengths are counted, the plan is made over the counts, and pieces take the planned slots by
-    joining on their rank within their length. Ranks are given in ``shares`` shares per length that
+    joining on their rank within their length. Ranks are given in shares of about ``share_of`` pieces that
     are counted first, so no length is ranked in one task.
 
     Defined results: null texts and ids and windows without a positive capacity are left out; the empty
@@ -175,7 +178,7 @@ def assign(documents: DataFrame, windows: DataFrame, path: str = TOKENIZER, shar
     """
     spark = documents.sparkSession
     p = cut(pieces(documents, windows, path))  # tokenised once, read twice
-    share = F.pmod(F.xxhash64("doc_id", "part"), F.lit(shares))
+    share = F.pmod(F.xxhash64("doc_id", "part", "start_char"), F.lit(1 + p.count() // share_of))
     p = p.withColumn("share", share)
     counts = p.groupBy("window_id", "n_tokens", "share").agg(F.count("*").alias("n"))
     before = Window.partitionBy("window_id", "n_tokens").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
@@ -186,8 +189,6 @@ def assign(documents: DataFrame, windows: DataFrame, path: str = TOKENIZER, shar
         histogram.setdefault(r.window_id, {})[r.n_tokens] = r.n
     runs = [(w, *run) for w, h in sorted(histogram.items()) for run in plan(h, capacity[w])]
     planned = spark.createDataFrame(runs, "window_id bigint, n_tokens bigint, first_rank bigint, end_rank bigint, first_bin bigint, per_bin bigint")
-    if len(runs) <= BROADCAST_RUNS:
-        planned = F.broadcast(planned)
     mine = Window.partitionBy("window_id", "n_tokens", "share").orderBy("doc_id", "part", "start_char")
     ranked = p.withColumn("i", F.row_number().over(mine)).join(counts.select("window_id", "n_tokens", "share", "base"), ["window_id", "n_tokens", "share"])
     ranked = ranked.withColumn("rank", F.col("base") + F.col("i") - 1)
@@ -197,8 +198,8 @@ def assign(documents: DataFrame, windows: DataFrame, path: str = TOKENIZER, shar
 
 
 def fill(assigned: DataFrame, windows: DataFrame) -> DataFrame:
-    """Per window kind: bins, tokens placed, share of the space used."""
+    """Per window kind: bins, the fewest bins that could hold so many tokens, tokens placed, the fullest bin, share of the space used."""
     per_bin = assigned.groupBy("window_id", "bin_id").agg(F.sum("n_tokens").alias("used"))
     total = per_bin.groupBy("window_id").agg(F.count("*").alias("n_bins"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
     kinds = windows.select("window_id", "capacity_tokens").distinct()
-    return total.join(F.broadcast(kinds), "window_id").select("window_id", "n_bins", "n_tokens", "fullest", F.round(F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")), 6).alias("used_share"))
+    return total.join(F.broadcast(kinds), "window_id").select("window_id", "n_bins", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least_bins"), "n_tokens", "fullest", F.round(F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")), 6).alias("used_share"))

@@ -31,6 +31,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.found(table(spark, d, "parties"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record with an address: its class and how many classes are linked to it."""
+    return names.per_record(*addresses.link_places(table(spark, d, "parties")))
+
+
 def p5_rewrites(spark: SparkSession, d: str) -> DataFrame:
     """The rewrites that were mined from the addresses."""
     _, rules = addresses.normalise(table(spark, d, "parties"))
@@ -42,6 +47,7 @@ def p6_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per window kind: bins, the fewest there could be, tokens placed, share of the space used."""
     return packing.fill(p6_windows(spark, d), table(spark, d, "context_windows"))
 
 
@@ -67,7 +73,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_plain": p1_plain, "p2_found": p2_found, "p2_classes": p2_classes, "p5_found": p5_found, "p5_rewrites": p5_rewrites, "p6_windows": p6_windows, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items,
+    "p1_found": p1_found, "p1_plain": p1_plain, "p2_found": p2_found, "p2_classes": p2_classes, "p5_found": p5_found, "p5_classes": p5_classes, "p5_rewrites": p5_rewrites, "p6_windows": p6_windows, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
 ORACLE: dict[str, str] = {}

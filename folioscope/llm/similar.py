@@ -45,7 +45,7 @@ def near_pairs(strings: DataFrame, edits: int = 2, syllable_edits: int = 1) -> D
     order = Window.partitionBy("scope", "text", "how").orderBy("n", "gram")
     prefix = ranked.withColumn("i", F.row_number().over(order)).where("i <= prefix").select("scope", "how", "gram", "text", "kana", "size")
     other = prefix.select("scope", "how", "gram", *(F.col(c).alias(f"{c}_b") for c in ("text", "kana", "size")))
-    pairs = prefix.join(other, ["scope", "how", "gram"]).where("text < text_b AND abs(size - size_b) <= 3")
+    pairs = prefix.join(other, ["scope", "how", "gram"]).where(f"text < text_b AND abs(size - size_b) <= {max(edits, 3 * syllable_edits)}")  # a syllable has three letters at most
     close = (F.levenshtein("text", "text_b", 2 * edits) >= 0) | ((F.col("kana") != "") & (F.levenshtein("kana", "kana_b", 2 * syllable_edits) >= 0))
     pairs = pairs.where(close).select("scope", "text", "text_b", "kana", "kana_b").distinct()
 

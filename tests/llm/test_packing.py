@@ -44,7 +44,7 @@ DOCS = [
 def test_assignment_is_whole(spark):
     docs = spark.createDataFrame(DOCS, "doc_id bigint, text string, n_tokens int")
     windows = spark.createDataFrame([(1, "s", 64), (2, "m", 300), (3, "none", 0)], "window_id bigint, window_name string, capacity_tokens int")
-    rows = packing.assign(docs, windows, shares=3).collect()
+    rows = packing.assign(docs, windows, share_of=3).collect()
     encode = packing.tokenizer(packing.TOKENIZER).encode
     capacity, texts = {1: 64, 2: 300}, {i: t for i, t, _ in DOCS}
     parts, bins = defaultdict(list), defaultdict(int)
@@ -68,3 +68,20 @@ def test_empty(spark):
     windows = spark.createDataFrame([(1, "s", 64)], "window_id bigint, window_name string, capacity_tokens int")
     assert packing.assign(docs, windows).count() == 0
     assert packing.assign(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), windows.limit(0)).count() == 0
+
+
+def test_unbroken_text_takes_time_in_proportion():
+    import time
+
+    t = packing.tokenizer(packing.TOKENIZER)
+
+    def seconds(n):
+        text = "漢字仮名交文" * n
+        tokens, data = t.encode(text), text.encode()
+        began = time.perf_counter()
+        parts = t.split(data, tokens, 256)
+        assert all(len(t.encode(text[a:b])) == k <= 256 for a, b, k in parts) and parts[-1][1] == len(text)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(8_000) < 16 * max(seconds(1_000), 0.01)
