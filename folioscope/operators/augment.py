@@ -99,12 +99,21 @@ def rerank(candidates: DataFrame, surprisal: DataFrame, key: str) -> DataFrame:
 
 
 def smoothed_rates(history: DataFrame, group: str, order: list[str], value: str, weight: float) -> DataFrame:
-    """Exponential moving average of a value per group, folded over a bounded history (the last 64 values)."""
-    w = Window.partitionBy(group).orderBy(*[F.desc(c) for c in order])
-    last = history.withColumn("i", F.row_number().over(w)).where("i <= 64")
-    g = last.groupBy(group).agg(F.sort_array(F.collect_list(F.struct((-F.col("i")).alias("i"), value))).alias("a"))
-    fold = F.aggregate(F.transform("a", lambda x: x[value].cast("double")), F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(s * (1 - weight) + x * weight))
-    return g.select(group, F.round(fold, 6).alias("ema"))
+    """Exponential moving average of a value per group over its whole history.
+
+    The average is a weighted sum: the k-th newest value of n counts ``weight * (1 - weight)^(k-1)``, the
+    oldest ``(1 - weight)^(n-1)``. Ranks are given within the values of the first order column, whose
+    counts are summed up before, so that a long history is no one task.
+    """
+    first = order[0]
+    counts = history.groupBy(group, first).agg(F.count("*").alias("_m"))
+    later = Window.partitionBy(group).orderBy(F.desc_nulls_last(first)).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_later": F.coalesce(F.sum("_m").over(later), F.lit(0)), "_n": F.sum("_m").over(Window.partitionBy(group))})
+    within = Window.partitionBy(group, first).orderBy(*[F.desc_nulls_last(c) for c in order[1:]])
+    ranked = history.withColumn("_i", F.row_number().over(within)).alias("h").join(counts.alias("c"), F.col(f"h.{group}").eqNullSafe(F.col(f"c.{group}")) & F.col(f"h.{first}").eqNullSafe(F.col(f"c.{first}")))
+    k = F.col("_later") + F.col("_i")
+    share = F.pow(F.lit(1 - weight), k - 1) * F.when(k == F.col("_n"), 1.0).otherwise(weight)
+    return ranked.groupBy(F.col(f"h.{group}").alias(group)).agg(F.round(F.sum(F.col(value).cast("double") * share), 6).alias("ema"))
 
 
 def best_setting(grid: DataFrame, score: Column) -> DataFrame:

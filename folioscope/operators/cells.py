@@ -8,11 +8,15 @@ TABLE = ["doc_key", "page", "table_index"]
 PLACE = [*TABLE, "row_idx", "col_idx"]
 
 
-def delivered_once(cells: DataFrame, key: str = "cell_id", newest: str = "loaded_at") -> DataFrame:
-    """One row per key, the newest delivery (partial aggregation, no window over hot keys)."""
-    others = [c for c in cells.columns if c not in (key, newest)]
-    best = cells.groupBy(key).agg(F.max(F.struct(newest, *others)).alias("r"))
-    return best.select(key, *(F.col(f"r.{c}").alias(c) for c in others))
+def delivered_once(cells: DataFrame, key: str | list[str] = "cell_id", newest: str = "loaded_at") -> DataFrame:
+    """One row per key, the newest delivery, without ``newest``.
+
+    One aggregate per column, so that the optimizer drops those nobody reads, down to the scan; partial
+    aggregation takes care of hot keys. Repeated deliveries differ in ``newest`` only; a null ``newest`` is the oldest.
+    """
+    keys = [key] if isinstance(key, str) else key
+    at = F.coalesce(F.unix_micros(F.col(newest).cast("timestamp")), F.lit(-(1 << 62)))
+    return cells.groupBy(*keys).agg(*(F.max_by(c, at).alias(c) for c in cells.columns if c not in (*keys, newest)))
 
 
 def context_lines(cells: DataFrame, limit: int = 120) -> DataFrame:

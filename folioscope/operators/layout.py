@@ -38,28 +38,43 @@ def nearest_header(cells: DataFrame, least: float = 0.2) -> DataFrame:
     return j.groupBy("cell_id").agg(F.min(F.struct(gap.alias("gap"), "header_id")).alias("m")).select("cell_id", "m.header_id", "m.gap")
 
 
+def _section(prefix: str = "") -> Column:
+    return F.concat_ws(":", F.lit("section"), "system_name", f"{prefix}section_id")
+
+
 def graph_nodes(cells: DataFrame, sections: DataFrame) -> DataFrame:
     tables = cells.groupBy(*TABLE).agg(F.count("*").alias("n")).select(F.concat_ws(":", F.lit("table"), *TABLE).alias("node"), F.lit("table").alias("kind"))
-    heads = sections.select(F.concat_ws(":", F.lit("section"), "section_id").alias("node"), F.lit("section").alias("kind")).distinct()
+    heads = sections.select(_section().alias("node"), F.lit("section").alias("kind")).distinct()
     docs = cells.select("doc_key").union(sections.select("doc_key")).distinct().select(F.concat_ws(":", F.lit("doc"), "doc_key").alias("node"), F.lit("document").alias("kind"))
     return tables.unionByName(heads).unionByName(docs)
 
 
 def graph_edges(cells: DataFrame, sections: DataFrame) -> DataFrame:
-    """``source, relation, target``: documents have tables and sections, sections follow each other."""
+    """``source, relation, target``: documents have tables and sections, sections of a system follow each other."""
     doc = F.concat_ws(":", F.lit("doc"), "doc_key")
     tables = cells.select(*TABLE).distinct().select(doc.alias("source"), F.lit("has_table").alias("relation"), F.concat_ws(":", F.lit("table"), *TABLE).alias("target"))
-    s = sections.groupBy("doc_key", "section_id").agg(F.min("section_order").alias("o"))
-    name = F.concat_ws(":", F.lit("section"), "section_id")
-    has = s.select(doc.alias("source"), F.lit("has_section").alias("relation"), name.alias("target"))
-    w = Window.partitionBy("doc_key").orderBy("o", "section_id")
-    follows = s.withColumn("n", F.lead("section_id").over(w)).where("n IS NOT NULL").select(name.alias("source"), F.lit("next").alias("relation"), F.concat_ws(":", F.lit("section"), "n").alias("target"))
-    return tables.unionByName(has).unionByName(follows)
-
-
-def heading_paths(sections: DataFrame) -> DataFrame:
-    """Each section with the nearest heading of a higher level before it in its document, level by level."""
-    w = Window.partitionBy("doc_key").orderBy("section_order", "section_id").rowsBetween(Window.unboundedPreceding, 0)
-    level = lambda k: F.last(F.when(F.col("heading_level") == k, F.col("section_id")), ignorenulls=True).over(w)
-    s = sections.withColumns({"h1": level(1), "h2": level(2)})
-    return s.select("section_id", F.when(F.col("heading_level") > 1, F.col("h1")).alias("under_1"), F.when(F.col("heading_level") > 2, F.col("h2")).alias("under_2"))
+    s = sections.groupBy("doc_key", "system_name", "section_id").agg(F.min("section_order").alias("o"))
+    has = s.select(doc.alias("source"), F.lit("has_section").alias("relation"), _section().alias("target"))
+    w = Window.partitionBy("doc_key", "system_name").orderBy("o", "section_id")
+    follows = s.withColumn("next_section_id", F.lead("section_id").over(w)).where("next_section_id IS NOT NULL")
+    return tables.unionByName(has).unionByName(follows.select(_section().alias("source"), F.lit("next").alias("relation"), _section("next_").alias("target")))
+
+
+def heading_paths(headings: DataFrame, group: list[str], order: list[str], level: str, name: str) -> DataFrame:
+    """Adds ``path``, the names of the headings a heading stands under and its own, outermost first.
+
+    A heading closes all open ones of its own or a deeper level. The open heading of a level is the last
+    one of that level, unless one of a higher level came after it. Levels are few by nature; which there
+    are is taken from the data. Null levels stand under nothing and close nothing. One sort per group, streamed through window functions.
+    """
+    levels = [r[0] for r in headings.where(F.col(level).isNotNull()).select(level).distinct().orderBy(level).collect()]
+    numbered = headings.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    upto = Window.partitionBy(*group).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    open_ = numbered
+    for i, k in enumerate(levels):
+        open_ = open_.withColumns({
+            f"_h{i}": F.last(F.when(F.col(level) == k, F.struct(F.col("_at").alias("at"), F.col(name).alias("name"))), ignorenulls=True).over(upto),
+            f"_c{i}": F.coalesce(F.last(F.when(F.col(level) < k, F.col("_at")), ignorenulls=True).over(upto), F.lit(0)),
+        })
+    stands = [F.when((F.lit(k) <= F.col(level)) & (F.col(f"_h{i}.at") > F.col(f"_c{i}")), F.col(f"_h{i}.name")) for i, k in enumerate(levels)]
+    return open_.withColumn("path", F.array_compact(F.array(*stands)) if stands else F.array().cast("array<string>")).select(*headings.columns, "path")

@@ -60,7 +60,8 @@ def table_similarity(spark, d):
         return r.groupBy(*C.TABLE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", one.alias("h")))), lambda x: x["h"]), "").alias("html"))
 
     a, b = html("cells"), html("cells_b").withColumnRenamed("html", "other")
-    return a.join(b, C.TABLE).select(*C.TABLE, F.round(A.row_count_similarity(F.col("html"), F.col("other")), 6).alias("similarity"))
+    similarity = F.coalesce(A.row_count_similarity(F.col("html"), F.col("other")), F.lit(0.0))
+    return a.join(b, C.TABLE, "full").select(*C.TABLE, F.round(F.when(F.col("html").isNotNull() & F.col("other").isNotNull(), similarity).otherwise(0.0), 6).alias("similarity"))
 
 
 def reranked_readings(spark, d):
@@ -122,6 +123,8 @@ ORACLE = {
     "threshold_choice": f"WITH {C1}, g AS (SELECT t.threshold, count(*) FILTER (WHERE confidence < t.threshold) AS flagged, count(confidence) AS n FROM c, (SELECT unnest(range(1, 20)) / 20.0::DOUBLE AS threshold) t GROUP BY ALL) SELECT threshold, flagged, round(abs(flagged / n - 0.1), 6) AS score FROM g ORDER BY score, n, threshold LIMIT 1",
     "table_similarity": f"""WITH a AS (SELECT {_T}, row_idx, count(*) AS n FROM (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC) = 1) GROUP BY ALL), b AS (SELECT {_T}, row_idx, count(*) AS n FROM (SELECT * FROM cells_b QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC) = 1) GROUP BY ALL),
       x AS (SELECT {_T}, list(n ORDER BY row_idx) AS x FROM a GROUP BY ALL), y AS (SELECT {_T}, list(n ORDER BY row_idx) AS y FROM b GROUP BY ALL)
-      SELECT {_T}, round(len(list_filter(list_zip(x, y), lambda p: p[1] = p[2])) / greatest(len(x), len(y)), 6) AS similarity FROM x JOIN y USING ({_T})""",
+      SELECT {_T}, round(len(list_filter(list_zip(x, y), lambda p: p[1] = p[2])) / greatest(len(x), len(y)), 6) AS similarity FROM x JOIN y USING ({_T})
+      UNION ALL SELECT {_T}, 0.0 FROM (SELECT {_T} FROM x ANTI JOIN y USING ({_T}) UNION ALL SELECT {_T} FROM y ANTI JOIN x USING ({_T}))""",
+    "confidence_ema": f"WITH {C1}, r AS (SELECT doc_key, confidence, row_number() OVER (PARTITION BY doc_key ORDER BY page DESC, table_index DESC, row_idx DESC, col_idx DESC, cell_id DESC) AS k, count(*) OVER (PARTITION BY doc_key) AS n FROM c WHERE confidence IS NOT NULL) SELECT doc_key, round(sum(confidence * pow(0.5, k - 1) * CASE WHEN k = n THEN 1 ELSE 0.5 END), 6) AS ema FROM r GROUP BY doc_key",
     "fused_vectors": "SELECT vec_id, round((2 * list_sum(embedding[1:32]::DOUBLE[]) + list_sum(embedding[33:64]::DOUBLE[])) / 3, 5) AS total FROM embeddings",
 }

@@ -104,9 +104,13 @@ def table_shapes(spark, d):
 
 
 def tabulate_pivot(spark, d):
-    """Rows of every table as columns c0 to c4, missing cells empty."""
-    c = cells_of(spark, d).groupBy(*C.TABLE, "row_idx").pivot("col_idx", [0, 1, 2, 3, 4]).agg(F.max(F.struct("cell_id", "text"))["text"])
-    return c.select(*C.TABLE, "row_idx", *(F.coalesce(str(i), F.lit("")).alias(f"c{i}") for i in range(5)))
+    """Rows of every table with one text per column of the table, however many it has, missing cells empty; joined by tabs."""
+    c = cells_of(spark, d)
+    width = c.groupBy(*C.TABLE).agg(F.max("col_idx").alias("last"))
+    places = c.groupBy(*C.PLACE).agg(F.max_by("text", "cell_id").alias("text"))
+    rows = places.groupBy(*C.TABLE, "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "text"))).alias("m"))
+    texts = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.element_at("m", i), F.lit("")))
+    return rows.join(width, C.TABLE).select(*C.TABLE, "row_idx", F.array_join(texts, "\t").alias("texts"))
 
 
 def hotspots(spark, d):
@@ -207,14 +211,16 @@ def ambiguous_variants(spark, d):
 
 
 def hypotheses(spark, d):
-    """Up to three readings of a low-confidence cell, best score first, equal texts once."""
-    h = F.array(
-        F.struct(F.lit(-0.6).alias("s"), F.col("text").alias("t")), F.struct(F.lit(-0.45).alias("s"), F.regexp_replace("text", r"\s", "").alias("t")),
-        F.struct(F.lit(-0.4).alias("s"), F.regexp_replace("text", "[^0-9]", "").alias("t")), F.struct(F.lit(-0.35).alias("s"), F.upper("text").alias("t")),
-    )
+    """Up to six readings of a low-confidence cell, best score first, equal texts once."""
+    alike = ("OoIlSBZ", "0011582")
+    readings = {
+        0.6: F.col("text"), 0.5: F.translate("text", *alike), 0.45: F.regexp_replace("text", r"\s", ""), 0.4: F.regexp_replace("text", "[^0-9]", ""),
+        0.35: F.upper("text"), 0.3: F.regexp_replace("text", "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", ""),
+    }
+    h = F.array(*(F.struct(F.lit(-s).alias("s"), t.alias("t")) for s, t in readings.items()))
     best = F.filter(F.array_sort(h), lambda x: x["t"] != "")
     once = F.filter(best, lambda x, i: F.array_position(F.transform(F.slice(best, 1, i), lambda y: y["t"]), x["t"]) == 0)
-    c = cells_of(spark, d).where("low_conf AND text <> ''").select("cell_id", F.slice(once, 1, 3).alias("h"))
+    c = cells_of(spark, d).where("low_conf AND text <> ''").select("cell_id", once.alias("h"))
     return c.select("cell_id", F.posexplode("h").alias("rank", "x")).select("cell_id", "rank", F.col("x.t").alias("text"), (-F.col("x.s")).alias("score"))
 
 
@@ -258,7 +264,7 @@ ORACLE = {
     "flat_cells": f"WITH {C1} SELECT cell_id, doc_key, page, row_idx, col_idx, bbox[1] AS x0, bbox[2] AS y0, bbox[3] AS x1, bbox[4] AS y1, coalesce(trace_id, '') AS trace FROM c",
     "page_sections": f"WITH {C1}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_key, page ORDER BY table_index, row_idx, col_idx, cell_id) AS i FROM c), g AS (SELECT doc_key, page, list(coalesce(text, '') ORDER BY i) AS a FROM r WHERE i <= 40 GROUP BY ALL) SELECT doc_key, page, len(a)::INT AS n_cells, length(array_to_string(a, chr(10))) AS n_chars, md5(array_to_string(a, chr(10))) AS digest FROM g",
     "table_shapes": f"WITH {C1} SELECT {_T}, count(DISTINCT row_idx) AS n_rows, count(DISTINCT col_idx) AS n_cols, count(*) AS n_cells FROM c GROUP BY ALL",
-    "tabulate_pivot": f"WITH {C1} SELECT {_T}, row_idx, " + ", ".join(f"coalesce(arg_max(text, cell_id) FILTER (WHERE col_idx = {i}), '') AS c{i}" for i in range(5)) + " FROM c GROUP BY ALL",
+    "tabulate_pivot": f"WITH {C1}, w AS (SELECT {_T}, unnest(range(max(col_idx) + 1)) AS col_idx FROM c GROUP BY {_T}), r AS (SELECT DISTINCT {_T}, row_idx FROM c), p AS (SELECT {_T}, row_idx, col_idx, arg_max_null(text, cell_id) AS text FROM c GROUP BY ALL) SELECT {_T}, row_idx, string_agg(coalesce(text, ''), chr(9) ORDER BY col_idx) AS texts FROM r JOIN w USING ({_T}) LEFT JOIN p USING ({_T}, row_idx, col_idx) GROUP BY ALL",
     "hotspots": f"WITH {C1}, g AS (SELECT grouping_id(doc_key, page, table_index, row_idx) AS level, {_T}, row_idx, count(*) AS score, count(*) AS n FROM c WHERE low_conf GROUP BY GROUPING SETS ((doc_key), ({_T}), ({_T}, row_idx))) SELECT level, rank, {_T}, row_idx, score, n FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY score DESC, n DESC, doc_key, page NULLS FIRST, table_index NULLS FIRST, row_idx NULLS FIRST) AS rank FROM g) WHERE rank <= 8",
     "hotspot_share": f"WITH {C1}, r AS (SELECT {_T}, row_idx, count(*) AS n FROM c WHERE low_conf GROUP BY ALL) SELECT round((SELECT sum(n) FROM (SELECT n FROM r ORDER BY n DESC, doc_key, page, table_index, row_idx LIMIT 16)) / sum(n), 6) AS share FROM r",
     "reanalysis_apply": f"WITH {C1}, b AS (SELECT trace_id, text AS nt FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY loaded_at DESC, text DESC NULLS LAST) AS rn FROM cells_b WHERE trace_id <> '') WHERE rn = 1) SELECT cell_id, nt AS text, 0.75::DOUBLE AS confidence FROM c JOIN b USING (trace_id) WHERE 0.75 > coalesce(confidence, 0)",
@@ -272,6 +278,8 @@ ORACLE = {
     "html_rows": f"WITH {C1}, r AS ({_ROWS}) SELECT {_T}, row_idx, '<tr>' || array_to_string(list_transform(a, lambda x: '<td>' || x.t || '</td>'), '') || '</tr>' AS html FROM r",
     "safe_paths": "SELECT item_id, regexp_replace(regexp_replace(query, '[^A-Za-z0-9\\-_.]+', '_', 'g'), '^_+|_+$', '', 'g') AS segment, CASE WHEN length(passage) > 120 THEN substr(passage, 1, 119) || '…' ELSE passage END AS clipped, md5(passage) AS digest FROM eval_items",
     "masked_numbers": f"WITH {C1} SELECT regexp_replace(text, '[-+]?[¥$€£]?\\d[\\d,]*(?:\\.\\d+)?%?', '<num>', 'g') AS mask, count(*) AS n FROM c WHERE text IS NOT NULL GROUP BY 1",
+    "hypotheses": f"""WITH {C1}, h AS (SELECT cell_id, unnest([{{'s': 0.6, 't': text}}, {{'s': 0.5, 't': translate(text, 'OoIlSBZ', '0011582')}}, {{'s': 0.45, 't': regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g')}}, {{'s': 0.4, 't': regexp_replace(text, '[^0-9]', '', 'g')}}, {{'s': 0.35, 't': upper(text)}},
+      {{'s': 0.3, 't': regexp_replace(text, '^[^0-9A-Za-z]+|[^0-9A-Za-z]+$', '', 'g')}}]) AS x FROM c WHERE low_conf AND text <> ''), o AS (SELECT cell_id, x.t AS text, max(x.s)::DOUBLE AS score FROM h WHERE x.t <> '' GROUP BY ALL) SELECT cell_id, (row_number() OVER (PARTITION BY cell_id ORDER BY score DESC) - 1)::INT AS rank, text, score FROM o""",
     "ambiguous_variants": f"WITH {C1} SELECT cell_id, unnest(list_distinct([text, translate(text, '01', 'OI'), translate(text, 'OI', '01'), translate(text, '58', 'SB')])) AS variant FROM c WHERE regexp_full_match(text, '[A-Z]{{2}}-[0-9]+')",
     "repeated_deliveries": "SELECT cell_id, count(*) AS n, max(loaded_at) AS last FROM cells GROUP BY cell_id HAVING count(*) > 1",
     "late_arrivals": "SELECT doc_key, count(*) FILTER (WHERE loaded_at > captured_at + INTERVAL 1 DAY) AS n_late, count(*) AS n FROM cells GROUP BY doc_key HAVING n_late > 0",
