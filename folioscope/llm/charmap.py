@@ -5,18 +5,21 @@ from __future__ import annotations
 import unicodedata
 from functools import cache
 
-#: Cyrillic and Greek letters that look like a Latin one.
+#: Cyrillic, Armenian and Greek letters that look like a Latin one.
 _CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝкьҮүѴѵ"
 _CYRILLIC_AS = "ABESIJKMHOPCTYXaesijopcyxhdqwkbYyVv"
+_ARMENIAN, _ARMENIAN_AS = "ՕօՏոսցհ", "OoSnugh"
 _GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγεηικνορτυχω"
 _GREEK_AS = "ABEZHIKMNOPTYXayenikvoptuxw"
 #: Letters that look like a digit.
 _DIGITLIKE = "OoОоΟοlIІіΙιЗзҘБбЅѕ"
 _DIGITLIKE_AS = "00000011111133366" + "55"
 
-TO_LATIN = dict(zip(_CYRILLIC + _GREEK, _CYRILLIC_AS + _GREEK_AS, strict=True))
+TO_LATIN = dict(zip(_CYRILLIC + _GREEK + _ARMENIAN, _CYRILLIC_AS + _GREEK_AS + _ARMENIAN_AS, strict=True))
 #: From Latin to Cyrillic, for a Latin letter inside a Cyrillic word.
 TO_CYRILLIC = {latin: c for c, latin in reversed(list(zip(_CYRILLIC, _CYRILLIC_AS, strict=True)))}
+#: Leading consonants, vowels and trailing consonants of Hangul syllables, in the order that numbers them.
+HANGUL = tuple("".join(chr(start + i) for i in range(n)) for start, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 TO_DIGIT = dict(zip(_DIGITLIKE, _DIGITLIKE_AS, strict=True))
 
 _HYPHENS = "‐‑‒–—―−﹘﹣－"
@@ -37,13 +40,15 @@ def plain_of(ch: str) -> str:
         return " "
     if category == "Nd":
         return str(unicodedata.digit(ch))
+    if ch == "ɡ":  # the script form of g, no letter of its own outside phonetics
+        return "g"
     if 0xAC00 <= ord(ch) <= 0xD7A3:
         return ch
     return "".join("/" if c == "⁄" else " " if unicodedata.category(c) == "Zs" else c for c in unicodedata.normalize("NFKD", ch))
 
 
 def script_of(ch: str) -> str:
-    """``latin``, ``cyrillic``, ``greek``, ``digit``, ``mark``, ``other`` for letters of other scripts, and empty for what ends a word."""
+    """``latin``, ``cyrillic``, ``greek``, ``armenian``, ``digit``, ``mark``, ``other`` for letters of other scripts, and empty for what ends a word."""
     if unicodedata.combining(ch):
         return "mark"
     category = unicodedata.category(ch)
@@ -52,7 +57,7 @@ def script_of(ch: str) -> str:
     if category[0] != "L":
         return ""
     name = unicodedata.name(ch, "")
-    return next((s.lower() for s in ("LATIN", "CYRILLIC", "GREEK") if name.startswith(s)), "other")
+    return next((s.lower() for s in ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN") if name.startswith(s)), "other")
 
 
 @cache
@@ -74,9 +79,9 @@ def characters() -> list[tuple[str, list[tuple[str, int, str]]]]:
 
 @cache
 def compositions() -> list[tuple[str, str]]:
-    """``(base + mark, composed character)`` for every canonical composition but Hangul."""
+    """``(base + mark, composed character)`` for every canonical composition but Hangul, which follows a rule."""
     rows = []
-    for cp in range(0x00C0, 0x30FF):
+    for cp in (*range(0x00C0, 0xAC00), *range(0xF900, 0x20000)):
         parts = unicodedata.decomposition(chr(cp)).split()
         if len(parts) == 2 and not parts[0].startswith("<"):
             pair = "".join(chr(int(p, 16)) for p in parts)

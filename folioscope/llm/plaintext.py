@@ -20,12 +20,23 @@ def _lookalikes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "c string, latin string, cyrillic string, digit string")
 
 
+def _hangul(base: Column, c: Column) -> Column:
+    """The syllable of a leading consonant and a vowel, or of a syllable without and a trailing consonant; else null."""
+    lead, vowel, trail = charmap.HANGUL
+    place = lambda x, row: F.instr(F.lit(row), x) - 1
+    number = F.conv(F.hex(F.encode(base, "UTF-16BE")), 16, 10).try_cast("int") - 0xAC00
+    syllable = lambda n: F.decode(F.unhex(F.hex(n + 0xAC00)), "UTF-16BE")
+    first = (place(base, lead) >= 0) & (place(c, vowel) >= 0)
+    second = base.between("가", "힣") & (number % 28 == 0) & (place(c, trail) >= 0)
+    return F.when(first, syllable((place(base, lead) * 21 + place(c, vowel)) * 28)).when(second, syllable(number + place(c, trail) + 1))
+
+
 def _compose(cluster: Column) -> Column:
     """A starter with its marks in order, composed as far as possible (a mark is blocked by one of its own class)."""
     table = F.create_map(*(F.lit(x) for pair in charmap.compositions() for x in pair))
 
     def step(state: Column, mark: Column) -> Column:
-        whole = F.element_at(table, F.concat(state["base"], mark["c"]))
+        whole = F.coalesce(F.element_at(table, F.concat(state["base"], mark["c"])), F.when(mark["c"].between("\u1161", "\u11c2"), _hangul(state["base"], mark["c"])))
         joins = whole.isNotNull() & (state["last"] != mark["ccc"])
         return F.struct(
             F.when(joins, whole).otherwise(state["base"]).alias("base"),
@@ -69,9 +80,11 @@ def plain_values(values: DataFrame) -> DataFrame:
     word = Window.partitionBy("value", "word")
     has = lambda c: F.max(F.coalesce(c, F.lit(False)))
     script, digit = F.col("script"), F.col("digit")
-    letter = script.isin("latin", "cyrillic", "greek", "other")
+    letter = script.isin("latin", "cyrillic", "greek", "armenian", "other")
+    jamo = F.col("c").between("\u1161", "\u11c2") & F.lag("c").over(ordered).rlike("^[\u1100-\u11c2가-힣]$")  # goes on with the syllable before it
+    parts = parts.withColumn("begins", ((F.col("ccc") == 0) & ~F.coalesce(jamo, F.lit(False))).cast("int"))
     parts = parts.withColumns({
-        "starter": F.sum((F.col("ccc") == 0).cast("int")).over(ordered),
+        "starter": F.sum("begins").over(ordered),
         "word": F.sum((script == "").cast("int")).over(ordered),
         "number": has(script == "digit").over(whole) & ~has((letter & digit.isNull()) | (script == "mark")).over(whole)
         & ~has((script == "") & ~F.col("c").rlike(r"^[-+.,'/:()%\s\p{Sc}]$")).over(whole)
@@ -81,7 +94,7 @@ def plain_values(values: DataFrame) -> DataFrame:
         "in_number": has(script == "digit").over(word) & ~has((letter & digit.isNull()) | (script == "mark")).over(word),
         "has_latin": has(script == "latin").over(word),
         "sure_latin": has((script == "latin") & F.col("cyrillic").isNull()).over(word),
-        "has_other": has(script.isin("cyrillic", "greek")).over(word),
+        "has_other": has(script.isin("cyrillic", "greek", "armenian")).over(word),
         "sure_other": has(script.isin("cyrillic") & F.col("latin").isNull()).over(word),
     })
     mixed = F.col("has_latin") & F.col("has_other")
@@ -89,7 +102,7 @@ def plain_values(values: DataFrame) -> DataFrame:
     plain = (
         F.when(letter & (F.col("number") | F.col("in_number")) & digit.isNotNull(), digit)
         .when(to_cyrillic & (script == "latin"), F.coalesce("cyrillic", "c"))
-        .when(mixed & ~to_cyrillic & script.isin("cyrillic", "greek"), F.coalesce("latin", "c"))
+        .when(mixed & ~to_cyrillic & script.isin("cyrillic", "greek", "armenian"), F.coalesce("latin", "c"))
         .otherwise(F.col("c"))
     )
     clusters = parts.withColumn("c", plain).groupBy("value", "starter").agg(F.sort_array(F.collect_list(F.struct("ccc", "at", "c"))).alias("cluster"))

@@ -11,6 +11,7 @@ CASES = [
     ("Завод Жарник", "Завод Жарник"), ("Φ 20", "Φ 20"), ("З35,22 €", "335,22 €"), ("І38", "138"), ("$3,3O5.6l", "$3,305.61"), ("(O1,250)", "(01,250)"), ("ﬁlter", "filter"), ("㈱ｷﾞﾍﾟ", "(株)ギペ"),
     ("株式会社⼤", "株式会社大"), ("KN–83", "KN-83"), ("d’acier", "d'acier"), ("١٢", "12"), ("Zавод", "Zaвoд"), ("バ", "バ"), ("​", ""), ("Ⅱ", "II"), ("plain text 12", "plain text 12"),
     ("q̣̇", "q̣̇"), ("Tamlol 5", "Tamlol 5"), ("Model I", "Model I"), ("0.5 l", "0.5 l"), ("І 911 461,35 €", "1 911 461,35 €"), ("l 911,35", "1 911,35"),
+    ("\u1112\u1161\u11ab\u1100\u116e\u11a8", "한국"), ("한국", "한국"), ("ᄒ", "ᄒ"), ("a\u1161", "a\u1161"), ("가\u11a8\u11a8", "각\u11a8"), ("\U00011099\U000110ba", "\U0001109a"), ("Pհօtօ", "Photo"), ("ɡear", "gear"), ("Հայ", "Հայ"),
 ]
 
 
