@@ -65,6 +65,6 @@ def near_pairs(strings: DataFrame, edits: int = 2, syllable_edits: int = 1) -> D
                     out.append((scope, x, y, d))
             yield pd.DataFrame(out, columns=["scope", "a", "b", "distance"])
 
-    found = pairs.mapInPandas(verify, "scope string, a string, b string, distance int").distinct()
+    found = cut(pairs.mapInPandas(verify, "scope string, a string, b string, distance int").distinct())  # read in both directions
     turned = found.select("scope", F.col("b").alias("a"), F.col("a").alias("b"), "distance")
     return found.unionByName(turned)
