@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm import codes
+from folioscope.runtime import cut
 
 #: Letters in a shingle: no more than the fewest that a window of WORDS words can have.
 SHINGLE = 12
 WORDS, CHARACTERS = 14, 45
-#: Items joined at once: the tables sent to the workers hold the shingles of so many items at most.
-BLOCK = 5_000
-_BITS = 22
+#: Bits of the filter that goes to the workers, however many items there are.
+_BITS = 25
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93))
 
 
@@ -57,59 +56,104 @@ def item_windows(item_id: int, passage: str, lang: str | None) -> Item:
     return Item(item_id, letters, at[: max(0, at.size - WORDS)], at[WORDS:])
 
 
-class _Lookup:
-    """Positions of known hashes in an array, by a bitmap and then exactly."""
+class _Filter:
+    """Which hashes may be among known ones: one bit per leading bits of the hash, so its size is fixed. The join tells exactly."""
 
-    def __init__(self, known: np.ndarray):
-        self.known = known
-        self.bitmap = np.zeros(1 << _BITS, bool)
-        self.bitmap[known >> np.uint64(64 - _BITS)] = True
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
-    def find(self, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position, index of the known hash and text of each shingle that lies within one text."""
-        at = np.flatnonzero(self.bitmap[hashes >> np.uint64(64 - _BITS)])
-        which = np.minimum(np.searchsorted(self.known, hashes[at]), max(0, self.known.size - 1))
-        same = self.known[which] == hashes[at] if self.known.size else np.zeros(at.size, bool)
-        at, which = at[same], which[same]
+    @classmethod
+    def of(cls, hashes: DataFrame) -> _Filter:
+        """Built in a few parts from a column of hashes, put together on the driver."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(1 << _BITS, bool)
+            for batch in batches:
+                bits[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - _BITS)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+        whole = np.zeros(1 << _BITS >> 3, np.uint8)
+        for (packed,) in hashes.coalesce(2).mapInArrow(part, "bits binary").toLocalIterator():
+            whole |= np.frombuffer(packed, np.uint8)
+        return cls(whole)
+
+    def find(self, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position and text of each shingle that lies within one text and may be known."""
+        at = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
+        at = np.flatnonzero(self.bits[at >> 3] & (128 >> (at & 7)).astype(np.uint8))
         text = np.searchsorted(ends, at, "right")
         inside = at + SHINGLE <= ends[text] if at.size else np.zeros(0, bool)
-        return at[inside], which[inside], text[inside]
+        return at[inside], text[inside]
+
+
+def _signed(hashes: np.ndarray) -> pa.Array:
+    return pa.array(hashes.view(np.int64))
+
 
+def _shingles(items: DataFrame) -> DataFrame:
+    """``(item, shingle, position)`` for every shingle of every item that has a window."""
 
-def _rarity(texts: DataFrame, known: np.ndarray) -> np.ndarray:
-    """How often each shingle of the items occurs in the corpus: counted per partition, added up after."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, passage, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                item = item_windows(key, passage, lang)
+                if item.starts.size:
+                    h = _hashes(item.letters)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(h.size, key)), _signed(h), pa.array(np.arange(h.size))], ["item", "shingle", "position"])
+
+    return items.select("item", "passage", "lang").mapInArrow(each, "item bigint, shingle bigint, position bigint")
+
+
+def _rarity(texts: DataFrame, known: _Filter) -> DataFrame:
+    """``(shingle, n)``: how often shingles that may be known occur in the corpus, counted per batch, added up after."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, total = _Lookup(known), np.zeros(known.size, np.int64)
         for _, group in codes.groups(batches):
             letters, ends = codes.only_letters(*codes.fold(group))
-            _, which, _ = lookup.find(_hashes(letters), ends)
-            total += np.bincount(which, minlength=known.size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["shingle", "n"])
+            h = _hashes(letters)
+            at, _ = known.find(h, ends)
+            each, n = np.unique(h[at], return_counts=True)
+            if each.size:
+                yield pa.RecordBatch.from_arrays([_signed(each), pa.array(n.astype(np.int64))], ["shingle", "n"])
 
-    counts = texts.mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rarity = np.zeros(known.size, np.int64)
-    for shingle, n in counts.collect():  # one row per shingle of the block's items
-        rarity[shingle] = n
-    return rarity
+    return texts.mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def _prefixes(items: list[Item], known: np.ndarray, rarity: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """The rarest shingle of every window, as index -> [(item, position in it)].
+def _prefixes(items: DataFrame, shingles: DataFrame, rarity: DataFrame) -> DataFrame:
+    """``(shingle, item, position)``: the rarest shingle of every window.
 
     A document that contains a window contains all its shingles, so a prefix of one suffices; a
     window with a shingle that never occurs occurs nowhere.
     """
-    chosen: dict[int, set[tuple[int, int]]] = defaultdict(set)
-    for i, item in enumerate(items):
-        which = np.searchsorted(known, _hashes(item.letters))
-        rank = rarity[which]
-        for start, end in zip(item.starts, item.ends, strict=True):
-            at = start + int(np.argmin(rank[start : end - SHINGLE + 1]))
-            if rank[at]:
-                chosen[int(which[at])].add((i, at))
-    return {k: sorted(v) for k, v in chosen.items()}
+    ranked = shingles.join(rarity, "shingle", "left").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("position", F.coalesce("n", F.lit(0)).alias("n"), "shingle"))).alias("a"))  # as many as the passage has letters
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, passage, lang, ordered in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                item, rank = item_windows(key, passage, lang), np.array([x["n"] for x in ordered])
+                least = {start + int(np.argmin(rank[start : end - SHINGLE + 1])) for start, end in zip(item.starts, item.ends, strict=True)}
+                at = sorted(p for p in least if rank[p])
+                yield pa.RecordBatch.from_arrays([pa.array([ordered[p]["shingle"] for p in at], pa.int64()), pa.array([key] * len(at), pa.int64()), pa.array(at, pa.int64())], ["shingle", "item", "position"])
+
+    return items.join(ranked, "item").select("item", "passage", "lang", "a").mapInArrow(choose, "shingle bigint, item bigint, position bigint")
+
+
+def _occurrences(texts: DataFrame, wanted: _Filter) -> DataFrame:
+    """``(doc_id, text, hits)`` of the documents that may hold a prefix, with the shingles and where they stand."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, group in codes.groups(batches):
+            letters, ends = codes.only_letters(*codes.fold(group))
+            h = _hashes(letters)
+            at, text = wanted.find(h, ends)
+            starts = np.concatenate(([0], ends[:-1])) if ends.size else ends
+            rows = np.unique(text)
+            hits = [[{"shingle": int(s), "at": int(a)} for s, a in zip(h[at[text == t]].view(np.int64), at[text == t] - starts[t], strict=True)] for t in rows]
+            if hits:
+                kind = pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t in rows], pa.int64()), pa.array([group[t] for t in rows]), pa.array(hits, kind)], ["doc_id", "text", "hits"])
+
+    return texts.mapInArrow(find, "doc_id bigint, text string, hits array<struct<shingle: bigint, at: bigint>>")
 
 
 def _contains(letters: np.ndarray, low: int, high: int, at: int, item: Item, position: int) -> bool:
@@ -125,33 +169,6 @@ def _contains(letters: np.ndarray, low: int, high: int, at: int, item: Item, pos
     return bool(window < item.starts.size and item.ends[window] <= right)
 
 
-def _block(texts: DataFrame, items: list[Item]) -> DataFrame:
-    known = np.unique(np.concatenate([_hashes(i.letters) for i in items]))
-    prefixes = _prefixes(items, known, _rarity(texts, known))
-    order = sorted(prefixes)
-    wanted, places = known[order], [prefixes[k] for k in order]
-    used = {i for p in places for i, _ in p}
-    kept = {i: items[i] for i in used}
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Lookup(wanted)
-        for ids, group in codes.groups(batches):
-            letters, ends = codes.only_letters(*codes.fold(group))
-            found: set[tuple[int, int]] = set()
-            for at, which, text in zip(*(x.tolist() for x in lookup.find(_hashes(letters), ends)), strict=True):
-                low = int(ends[text - 1]) if text else 0
-                for i, position in places[which]:
-                    key = (text, i)
-                    if key not in found and _contains(letters, low, int(ends[text]), at, kept[i], position):
-                        found.add(key)
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[t] for t, _ in found], pa.int64()), pa.array([kept[i].item_id for _, i in found], pa.int64())], ["doc_id", "item_id"]
-                )
-
-    return texts.mapInArrow(join, "doc_id bigint, item_id bigint")
-
-
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id)`` for every document that holds a window of an item's passage.
 
@@ -159,26 +176,30 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     punctuation, spacing, line breaks and equal-looking characters don't count. Set join with prefix
     filter: the shingles of each window are ordered by how rarely they occur in the whole corpus,
     documents are joined on the rarest one, and exact containment is verified over the windows around
-    the place where it stands, within the bounds of text and item. The items are a stated query set:
-    they go to the workers in blocks of at most BLOCK, the corpus is never shuffled.
+    the place where it stands, within the bounds of text and item. The corpus is read twice, to count
+    and to join, however many items there are; of its texts only those that may hold a prefix travel.
 
     Defined results: null and short texts and passages hold nothing; repeated documents or items
     give their row once; an empty side gives no rows; other columns are not read.
     """
     texts = documents.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    parts, block = [], []
-    for row in items.select("item_id", "passage", "lang").where("item_id IS NOT NULL AND passage IS NOT NULL").distinct().toLocalIterator():
-        item = item_windows(row.item_id, row.passage, row.lang)
-        if item.starts.size:
-            block.append(item)
-        if len(block) == BLOCK:
-            parts.append(_block(texts, block))
-            block = []
-    if block:
-        parts.append(_block(texts, block))
-    if not parts:
-        return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    asked = items.select(F.col("item_id").cast("bigint"), "passage", "lang").where("item_id IS NOT NULL AND passage IS NOT NULL").distinct()
+    asked = cut(asked.withColumn("item", F.monotonically_increasing_id()))
+    shingles = cut(_shingles(asked))
+    prefixes = cut(_prefixes(asked, shingles, _rarity(texts, _Filter.of(shingles.select("shingle")))))
+    found = cut(_occurrences(texts, _Filter.of(prefixes.select("shingle"))).withColumn("row", F.monotonically_increasing_id()))
+    places = found.select("row", F.explode("hits").alias("h")).select("row", "h.shingle", "h.at").join(prefixes, "shingle")
+    pairs = places.groupBy("row", "item").agg(F.collect_set(F.struct("at", "position")).alias("places"))  # as many as the text has letters at most
+    pairs = pairs.join(asked, "item").join(found.select("row", "doc_id", "text"), "row").select("doc_id", "item_id", "text", "passage", "lang", "places")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, key, text, passage, lang, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                item = item_windows(key, passage, lang)
+                letters, _ = codes.only_letters(*codes.fold([text]))
+                if any(_contains(letters, 0, letters.size, p["at"], item, p["position"]) for p in places):
+                    out.append((doc, key))
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([i for _, i in out], pa.int64())], ["doc_id", "item_id"])
+
+    return pairs.mapInArrow(verify, "doc_id bigint, item_id bigint").distinct()
