@@ -16,3 +16,9 @@ def narrow(text: Column) -> Column:
     """Full-width to ASCII, every space plain, minus signs ASCII, invisible characters gone."""
     source = _WIDE + _SPACES + _MINUS + _HIDDEN
     return F.translate(text, source, _NARROW + " " * len(_SPACES) + "-" * len(_MINUS))
+
+
+def narrow_sql(expression: str) -> str:
+    """The same in SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"translate({expression}, {quoted(_WIDE + _SPACES + _MINUS + _HIDDEN)}, {quoted(_NARROW + ' ' * len(_SPACES) + '-' * len(_MINUS))})"

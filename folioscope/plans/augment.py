@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import values as V, words
+from folioscope.functions.marks import narrow_sql
 from folioscope.operators import augment as A, cells as C, embeddings as E
-from folioscope.plans.cells import C1, cells_of, hypotheses
+from folioscope.plans.cells import C1, SIGNATURES, cells_of, hypotheses
 from folioscope.runtime import table
 
 FAMILIES = {"quantity": "qty|quantity|quantité|数量", "price": "price|prix|単価", "amount": "amount|montant|金額|total"}
@@ -128,3 +129,28 @@ ORACLE = {
     "confidence_ema": f"WITH {C1}, r AS (SELECT doc_key, confidence, row_number() OVER (PARTITION BY doc_key ORDER BY page DESC, table_index DESC, row_idx DESC, col_idx DESC, cell_id DESC) AS k, count(*) OVER (PARTITION BY doc_key) AS n FROM c WHERE confidence IS NOT NULL) SELECT doc_key, round(sum(confidence * pow(0.5, k - 1) * CASE WHEN k = n THEN 1 ELSE 0.5 END), 6) AS ema FROM r GROUP BY doc_key",
     "fused_vectors": "SELECT vec_id, round((2 * list_sum(embedding[1:32]::DOUBLE[]) + list_sum(embedding[33:64]::DOUBLE[])) / 3, 5) AS total FROM embeddings",
 }
+
+_HEADER, _TEXT = narrow_sql("coalesce(header, '')"), narrow_sql("coalesce(text, '')")
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(lower({_HEADER}), '{p}') THEN '{k}'" for k, p in A.HEADER_KINDS) + " END"
+
+
+def _signed(column: str) -> str:
+    """The signed number of a text in one SQL expression."""
+    t = narrow_sql(column)
+    bare = rf"regexp_replace({t}, '[¥$€円 \t\n\r\f\v]|jpy|eur|usd', '', 'g')"
+    french = rf"(regexp_matches({t}, ',\d{{1,2}} *€? *$') AND NOT regexp_matches({t}, '\.\d'))"
+    plain = f"(CASE WHEN {french} THEN replace({bare}, ',', '.') ELSE replace({bare}, ',', '') END)"
+    digits = rf"regexp_replace({plain}, '[()\-]', '', 'g')"
+    n = f"TRY_CAST(regexp_replace({digits}, '%$', '') AS DOUBLE) / CASE WHEN ends_with({digits}, '%') THEN 100 ELSE 1 END"
+    return rf"({n} * CASE WHEN regexp_matches({plain}, '^\(.*\)$|^-|-$') THEN -1 ELSE 1 END)"
+
+
+_LABEL = f"regexp_matches(lower({_TEXT}), '^(grand |sub)?total|^合計|^小計|^montant à payer|^total général|^amount due|^balance due')"
+_SPAN = r"(-?\d+(?:\.\d+)?)[ \t\n\r\f\v]*[~〜–][ \t\n\r\f\v]*(-?\d+(?:\.\d+)?)"
+ORACLE |= {
+    "header_kinds": f"WITH {C1} SELECT header, {_KIND} AS kind, count(*) AS n FROM c GROUP BY ALL",
+    "signed_numbers": f"WITH {C1} SELECT cell_id, number FROM (SELECT cell_id, {_signed('amount')} AS number FROM c WHERE amount IS NOT NULL) WHERE number IS NOT NULL",
+    "enforced_numbers": f"WITH {C1}, k AS (SELECT doc_key, {_KIND} AS kind, {_signed('text')} AS v FROM c WHERE row_role = 'body') SELECT doc_key, kind, count(*) AS n, round(sum(v::DECIMAL(20, 4))::DOUBLE, 2) AS total FROM k WHERE kind IS NOT NULL AND v IS NOT NULL GROUP BY ALL",
+    "total_rows": f"WITH {C1} SELECT {_T}, row_idx, max({_signed('text')}) AS largest FROM c GROUP BY ALL HAVING max({_LABEL})",
+    "structural_grams": rf"WITH {C1}, {SIGNATURES} SELECT signature, count(*) AS n, count(TRY_CAST(replace(nullif(regexp_extract(text, '-?\d[\d,]*(?:\.\d+)?'), ''), ',', '') AS DOUBLE)) AS n_numbers, count(TRY_CAST(nullif(regexp_extract(text, '{_SPAN}', 1), '') AS DOUBLE)) AS n_ranges FROM g GROUP BY signature",
+}

@@ -284,3 +284,26 @@ ORACLE = {
     "repeated_deliveries": "SELECT cell_id, count(*) AS n, max(loaded_at) AS last FROM cells GROUP BY cell_id HAVING count(*) > 1",
     "late_arrivals": "SELECT doc_key, count(*) FILTER (WHERE loaded_at > captured_at + INTERVAL 1 DAY) AS n_late, count(*) AS n FROM cells GROUP BY doc_key HAVING n_late > 0",
 }
+
+# Classes of tokens and kinds of characters, said in SQL.
+_TOKEN = r"regexp_replace(regexp_replace(trim(tok), '^[()\[\]{}]+|[()\[\]{}]+$', '', 'g'), '[.,;:、。]+$', '')"
+_CLASSES = (
+    r"CASE WHEN t = '' THEN 'TEXT' WHEN regexp_full_match(t, '[-+]?\d[\d,]*(\.\d+)?%?') THEN 'NUM' WHEN regexp_full_match(lower(t), '(mm|cm|m|kg|g|t|kpa|mpa|bar|v|a|w|hz|rpm|min|h|s|pcs|個|枚|本|箱)') THEN 'UNIT' "
+    r"WHEN regexp_full_match(upper(t), '[A-Z]{1,4}-?\d[\dA-Z-]*') THEN 'ID' WHEN regexp_full_match(t, '[^A-Za-z0-9぀-鿿]+') THEN 'SYM' ELSE 'TEXT' END"
+)
+SIGNATURES = rf"""k AS (SELECT cell_id, generate_subscripts(a, 1) AS i, unnest(a) AS tok FROM (SELECT cell_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS a FROM c)),
+  l AS (SELECT cell_id, i, {_CLASSES} AS kind FROM (SELECT cell_id, i, {_TOKEN} AS t FROM k)), m AS (SELECT *, kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY cell_id ORDER BY i) AS keep FROM l),
+  g AS (SELECT c.cell_id, any_value(c.text) AS text, coalesce(string_agg(kind, '-' ORDER BY i) FILTER (WHERE keep), '') AS signature FROM c LEFT JOIN m USING (cell_id) GROUP BY c.cell_id)"""
+_TAGS = [
+    ("alpha", "regexp_matches(text, '[A-Za-z]')"), ("currency", "regexp_matches(text, '[¥$€]')"), ("date", f"regexp_matches(text, '{V.DATE}')"), ("decimal", "regexp_matches(text, '[0-9][.][0-9]')"), ("digit", "regexp_matches(text, '[0-9]')"),
+    ("integer", "regexp_full_match(text, '[0-9]+')"), ("lower", "regexp_full_match(text, '[^A-Z]*[a-z][^A-Z]*')"), ("upper", "regexp_full_match(text, '[^a-z]*[A-Z][^a-z]*')"),
+]
+ORACLE["type_signature"] = f"WITH {C1}, {SIGNATURES} SELECT signature, count(*) AS n FROM g GROUP BY signature"
+ORACLE["concept_tags"] = f"WITH {C1} SELECT tags, count(*) AS n FROM (SELECT concat_ws(',', " + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in _TAGS) + ") AS tags FROM c WHERE text IS NOT NULL) GROUP BY tags"
+ORACLE["robust_column_count"] = f"""WITH {C1}, r AS (SELECT {_T}, row_idx, count(*) AS n FROM c GROUP BY ALL), j AS (SELECT *, coalesce((abs(n - lag(n) OVER w) > 1)::INT, 0) AS jump FROM r WINDOW w AS (PARTITION BY {_T} ORDER BY row_idx)), u AS (SELECT *, sum(jump) OVER (PARTITION BY {_T} ORDER BY row_idx) AS run FROM j),
+  l AS (SELECT {_T}, run, length FROM (SELECT *, row_number() OVER (PARTITION BY {_T} ORDER BY length DESC, run) AS rn FROM (SELECT {_T}, run, count(*) AS length FROM u GROUP BY ALL)) WHERE rn = 1), k AS (SELECT {_T}, length, n, count(*) AS k FROM u JOIN l USING ({_T}, run) GROUP BY ALL)
+  SELECT {_T}, length, n AS n_cols FROM (SELECT *, row_number() OVER (PARTITION BY {_T} ORDER BY k DESC, n) AS rn FROM k) WHERE rn = 1"""
+_ASKED = ", ".join(f"arg_max(coalesce(text, ''), (col_idx, cell_id)) FILTER (WHERE header = '{h}') AS q{i}" for i, h in enumerate(("Qty", "Quantity", "Quantité", "数量")))
+ORACLE["kv_window"] = f"WITH {C1}, k AS (SELECT {_T}, row_idx, {_ASKED} FROM c GROUP BY ALL) SELECT * FROM (SELECT {_T}, row_idx, TRY_CAST(regexp_extract(coalesce(q0, q1, q2, q3), '[0-9]+') AS BIGINT) AS qty FROM k) WHERE qty IS NOT NULL"
+ORACLE["bigram_surprisal"] = f"""WITH t AS (SELECT DISTINCT title FROM sections WHERE length(title) >= 2), g AS (SELECT title, unnest(list_transform(range(1, length(title)), lambda i: substr(title, i, 2))) AS g FROM t), p AS (SELECT g, count(*) AS c FROM g GROUP BY g), l AS (SELECT substr(g, 1, 1) AS a, sum(c) AS ca FROM p GROUP BY 1),
+  v AS (SELECT greatest(count(DISTINCT substr(g, 2, 1)), 8) AS v FROM p), b AS (SELECT p.g, -log2((c + 1) / (ca + v)) AS bits FROM p JOIN l ON a = substr(p.g, 1, 1), v) SELECT title, round(avg(bits), 6) AS surprisal FROM g JOIN b USING (g) GROUP BY title"""
