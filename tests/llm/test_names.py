@@ -113,6 +113,53 @@ def test_near_pairs_against_brute_force(spark):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
+def test_candidates_do_not_grow_as_the_square(spark):
+    """Strings of a few syllables share their rarest grams with ever more others, but hardly their deletion variants."""
+    import random
+
+    import pyarrow as pa
+
+    from folioscope.llm import similar
+
+    rng = random.Random(8)
+    syllables = [c + v + d for c in "bdgklmnprst" for v in "aeiou" for d in "lrn"]
+
+    def candidates(n):
+        texts = sorted({"".join(rng.choices(syllables, k=5)) for _ in range(n)})
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([7] * len(texts), pa.int64()), pa.array(texts), pa.array([""] * len(texts))], ["id", "seed", "text", "kana"])
+        met = list(similar._meet(similar._spread(iter([batch]), 2, 1)))
+        return sum(m.num_rows for m in met)
+
+    assert candidates(4000) < 40 and candidates(8000) < 80
+
+
+@pytest.mark.parametrize("length", [12, 39, 41, 43, 90, 3000])
+def test_near_pairs_of_any_length(spark, length):
+    import random
+
+    rng = random.Random(length)
+    s = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=length))
+    swap = lambda x, i: x[:i] + x[i + 1] + x[i] + x[i + 2 :]
+    others = [swap(swap(s, 2), length - 4), "x" + s + "x", s[1:-1], swap(s, length // 2 - 1)[:-1], s[3:]]
+    texts = [s, *others]
+    want = {(a, b) for a in texts for b in texts if a != b and letters.distance(a, b, 2) <= 2}
+    got = near_pairs(spark.createDataFrame([("s", t, "") for t in texts], "scope string, text string, kana string"))
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) >= 8
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Every pair comes out once without being compared with the others, ids in several classes included."""
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (2, 4), (2, 4), (5, 4), (6, 6)] + [(100 + i, 100) for i in range(150)], "party_id bigint, class_id bigint")
+    links = spark.createDataFrame([(1, 3), (1, 4), (3, 100)], "class_a bigint, class_b bigint")
+    got = names.expand(members, links)
+    assert "keys=[party_id_a" not in got._jdf.queryExecution().toString()
+    rows = [tuple(r) for r in got.collect()]
+    classes = {p: {c for q, c in ((1, 1), (2, 1), (3, 3), (4, 4), (2, 4), (5, 4), (6, 6)) if q == p} for p in range(1, 7)} | {100 + i: {100} for i in range(150)}
+    near = {(1, 3), (1, 4), (3, 100), (3, 1), (4, 1), (100, 3)}
+    want = {(a, b) for a in classes for b in classes if a < b and (classes[a] & classes[b] or any((x, y) in near for x in classes[a] for y in classes[b]))}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
 def test_distance():
     assert letters.distance("abcd", "abdc") == 1 and letters.distance("abc", "abc") == 0 and letters.distance("abc", "xyz", 2) == 3
     assert letters.kana_of("hiredogahi") and letters.romaji("ヒレドガヒ") == "hiredogahi" and letters.kana_of("strk") == ""
